@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmill.llm.formatdups import collapse, duplicate_members
+from threadmill.llm.groupsplit import record_keys, related_records, split_records
 from threadmill.llm.pii import find_pii, redact
 from threadmill.session import table
 
@@ -25,5 +27,36 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select(F.lit("notes").alias("tbl"), F.col("id").alias("row_id"), "redacted", "n_items").union(posts.select(F.lit("source_posts").alias("tbl"), "row_id", "redacted", "n_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each copy with the smallest id of its group: (id_a, id_b)."""
+    pairs = duplicate_members(table(spark, sf_dir, "notes"), "id", "title", "content")
+    return pairs.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record with its number of copies: (id, n_copies)."""
+    return collapse(table(spark, sf_dir, "notes"), "id", "title", "content")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row that shares a group with another: (tbl, row_id, group_key)."""
+    return related_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")))
+
+
+_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every note and post: (tbl, row_id, split)."""
+    return split_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")), _SHARES)
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_copies": p4_copies,
+    "p5_found": p5_found,
+    "p5_split": p5_split,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
+}
 ORACLE_SQL: dict[str, str] = {}
