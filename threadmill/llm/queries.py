@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadmill.llm.formatdups import collapse, duplicate_members
 from threadmill.llm.groupsplit import record_keys, related_records, split_records
 from threadmill.llm.pii import find_pii, redact
+from threadmill.llm.truncation import truncated, truncation_rates
 from threadmill.session import table
 
 
@@ -51,11 +52,23 @@ def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")), _SHARES)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each note field cut inside a sentence: (id, field)."""
+    return truncated(table(spark, sf_dir, "notes"), "id", ["title", "content"])
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each site's fields are cut: (site, field, n_values, n_cut, rate)."""
+    return truncation_rates(table(spark, sf_dir, "notes"), "id", ["title", "content"], "source_url")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p5_found": p5_found,
     "p5_split": p5_split,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
 }
