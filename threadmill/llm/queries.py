@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmill.llm.crosssplit import cross_split_pairs, overlap_report
 from threadmill.llm.formatdups import collapse, duplicate_members
 from threadmill.llm.groupsplit import record_keys, related_records, split_records
+from threadmill.llm.leakage import leak_report, leaks
 from threadmill.llm.pii import find_pii, redact
+from threadmill.llm.readlevel import hard_documents, reading_levels
 from threadmill.llm.truncation import truncated, truncation_rates
 from threadmill.session import table
 
@@ -62,6 +65,37 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(table(spark, sf_dir, "notes"), "id", ["title", "content"], "source_url")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping entries across the splits: (entry_a, entry_b)."""
+    return cross_split_pairs(table(spark, sf_dir, "project_split_manifest"), table(spark, sf_dir, "source_posts"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and source file."""
+    return overlap_report(table(spark, sf_dir, "project_split_manifest"), table(spark, sf_dir, "source_posts"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a stretch of an evaluation item: (doc_id, item_id)."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items per item set."""
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of reading level 4: (doc_id)."""
+    return hard_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per script and reading level: (script, level, n_documents)."""
+    levels = reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+    return levels.groupBy("script", "level").agg(F.count("*").alias("n_documents"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
@@ -69,6 +103,12 @@ QUERIES = {
     "p5_split": p5_split,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
 }
