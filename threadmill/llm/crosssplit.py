@@ -46,7 +46,7 @@ def fingerprint(text: str) -> np.ndarray:
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(pairs), 4096):
         part = pairs[at : at + 4096]
-        words = np.stack([_mix(part + np.uint64(0x9E3779B97F4A7C15) * np.uint64(s + 1)) for s in range(BITS // 64)], 1)
+        words = np.stack([_mix(part + np.uint64((0x9E3779B97F4A7C15 * (s + 1)) & 0xFFFFFFFFFFFFFFFF)) for s in range(BITS // 64)], 1)
         votes += 2 * np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64) - len(part)
     return votes > 0
 

@@ -9,10 +9,11 @@ from threadmill.llm.crosssplit import cross_split_pairs, overlap_report
 from threadmill.llm.formatdups import collapse, duplicate_members
 from threadmill.llm.groupsplit import record_keys, related_records, split_records
 from threadmill.llm.leakage import leak_report, leaks
+from threadmill.llm.mixing import mix, mix_shares
 from threadmill.llm.pii import find_pii, redact
 from threadmill.llm.readlevel import hard_documents, reading_levels
 from threadmill.llm.truncation import truncated, truncation_rates
-from threadmill.session import table
+from threadmill.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,17 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("script", "level").agg(F.count("*").alias("n_documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined corpus: (shard, position, source, doc_id, copy, n_tokens)."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_shares(cut(mix(table(spark, sf_dir, "documents"), targets)), targets)
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
@@ -109,6 +121,8 @@ QUERIES = {
     "p8_items": p8_items,
     "p10_found": p10_found,
     "p10_profile": p10_profile,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
 }
