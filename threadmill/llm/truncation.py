@@ -24,22 +24,22 @@ _DECORATION = r"[\s\x{a0}\x{3000}\x{200b}\x{feff}~～」』】\"'*_]+$"
 _ELLIPSIS = r"(?:…|⋯|\.\.)[….。⋯]*$"
 _STOP = r"[。！？!?.．｡](?:[)）」』\"'’”]*)$"
 
-#: Words (Latin run, number, one character of Han/kana/Hangul) and sentence ends.
-_TOKEN = r"([a-z]+(?:['’][a-z]+)?|[0-9]+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsHangul}]|[。！？!?\n\r｡]|\.(?=[\s\p{Punct}]|$))"
+#: Words: Latin runs, the last digit of a number, one character of Han/kana/Hangul; and
+#: sentence ends. It runs over text in which _SAME has made digits 0 and ends $.
+_TOKEN = r"([a-z]+(?:['’][a-z]+)?|0(?!0)|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsHangul}]|\$|\.(?=[\s\p{Punct}]|$))"
+_SAME = ("123456789。！？!?\n\r｡\u200b\ufeff", "0" * 9 + "$" * 8)
 
 MIN_SEEN = 8
 MAX_RATE = 0.02
 
 
 def _words(text: Column) -> Column:
-    """The words of a text in one string, blank-separated: numbers are 0, sentence ends $."""
-    low = F.regexp_replace(F.lower(text), r"[\x{200b}\x{feff}]", "")
-    joined = F.array_join(F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(1)), " ")
-    return F.concat(F.lit("^ ^ "), F.regexp_replace(F.regexp_replace(joined, r"[0-9]+", "0"), r"[。！？!?\n\r｡.]", r"\$"))
+    """The words of a text behind two starts ^; every number is 0, a sentence end $ or a dot."""
+    return F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all(F.translate(F.lower(text), *_SAME), F.lit(_TOKEN), F.lit(1)))
 
 
 def fields_of(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id, field, s, mark, stem): one row per non-empty field, with what surrounds its end.
+    """(id, field, mark, stem): one row per non-empty field, with what surrounds its end.
 
     mark is 'cut' where the platform or a broken character says so, 'open' where the end
     shows neither a full stop nor anything like it, 'dots' for an ellipsis, else 'stop'.
@@ -47,39 +47,44 @@ def fields_of(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("s")) for f in fields])))
     rows = rows.where("s is not null and trim(s) <> ''")
-    bare = F.regexp_replace(F.col("s"), _DECORATION, "")
-    sure = F.col("s").rlike("(?i)" + _MORE) | F.col("s").rlike(_BROKEN)
+    # Marks stand at the end by definition, so they are looked for there only.
+    rows = rows.withColumn("__end", F.substring("s", -64, 64))
+    bare = F.regexp_replace("__end", _DECORATION, "")
+    sure = F.col("__end").rlike("(?i)" + _MORE) | F.col("__end").rlike(_BROKEN)
     mark = F.when(sure, "cut").when(bare.rlike(_ELLIPSIS), "dots").when(bare.rlike(_STOP), "stop").otherwise("open")
-    return rows.select("id", "field", "s", mark.alias("mark"), F.regexp_replace(F.regexp_replace(F.col("s"), "(?i)" + _MORE, ""), _BROKEN, "").alias("stem"))
+    marked = rows.select("id", "field", "s", mark.alias("mark"))
+    stem = F.when(F.col("mark") == "cut", F.regexp_replace(F.regexp_replace(F.col("s"), "(?i)" + _MORE, ""), _BROKEN, "")).otherwise(F.col("s"))
+    return marked.select("id", "field", "mark", stem.alias("stem"))
 
 
 def trigram_ends(rows: DataFrame) -> DataFrame:
     """(field, k3, k2, lat, goes_on, ends): how often each trigram goes on or ends a sentence.
 
-    Ends of whole texts are counted in ``text_ends``, once per distinct text; here only
-    what stands inside texts counts. k3 and k2 are hashes of the last three and two
-    words; lat holds the words where the last is Latin. Map-side partial aggregation
-    leaves distinct trigrams per task; hot trigrams arrive pre-counted.
+    Open ends of whole texts are counted apart, once per distinct text. k3 and k2 are
+    hashes of the last three and two words; lat holds the words where the last is Latin.
+    Map-side partial aggregation leaves distinct trigrams per task; hot trigrams arrive
+    pre-counted.
     """
-    words = rows.select("field", F.split(_words(F.col("stem")), " +").alias("t"))
+    words = rows.select("field", _words(F.col("stem")).alias("t"))
     return rows.sparkSession.sql(
         """
         with g as (select field, inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) as (a, b, c, d)
                    from {words} where size(t) > 3)
-        select field, xxhash64(a, b, c) as k3, xxhash64(b, c) as k2, case when c rlike '^[a-z]' then concat_ws(' ', a, b, c) end as lat,
-               count_if(d <> '$') as goes_on, count_if(d = '$') as ends
-        from g where c <> '$' and c <> '' and d <> '' group by all
+        select field, xxhash64(a, b, c) as k3, xxhash64(b, c) as k2, case when ascii(c) between 97 and 122 then concat_ws(' ', a, b, c) end as lat,
+               count_if(d not in ('$', '.')) as goes_on, count_if(d in ('$', '.')) as ends
+        from g where c not in ('$', '.') and d is not null group by all
         """,
         words=words,
     )
 
 
 def text_finals(rows: DataFrame) -> DataFrame:
-    """(id, field, mark, k3, k2, whole): the last trigram of each text and a hash of the text."""
-    words = rows.select("id", "field", "mark", F.split(F.regexp_replace(_words(F.col("stem")), r"[ $]+$", ""), " +").alias("t"))
+    """(id, field, k3, k2, whole): the last trigram of each open-ended text and a hash of the text."""
+    ended = F.regexp_replace("stem", r"[^\p{L}\p{N}]+$", "")
+    words = rows.where("mark in ('open', 'dots')").select("id", "field", _words(ended).alias("t"))
     return rows.sparkSession.sql(
         """
-        select id, field, mark, xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) as k3, xxhash64(element_at(t, -2), element_at(t, -1)) as k2,
+        select id, field, xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) as k3, xxhash64(element_at(t, -2), element_at(t, -1)) as k2,
                xxhash64(array_join(t, ' ')) as whole
         from {words} where size(t) > 2
         """,
@@ -119,7 +124,7 @@ def truncated(df: DataFrame, key: str, fields: list[str], min_seen: int = MIN_SE
     judged = F.when(F.col("goes_on") + F.col("ends") + F.col("texts") >= min_seen, _never_ends("goes_on", "ends", "texts", min_seen, max_rate)).otherwise(_never_ends("goes_on2", "ends2", "texts2", min_seen, max_rate))
     verdict = tail.select("field", "k3", "k2").join(counts, ["field", "k3", "k2"]).join(two, ["field", "k2"]).select(F.xxhash64("field", "k3", "k2").alias("__k"), judged.alias("never_ends")).where("never_ends")
     known = rows.where("mark = 'cut'").select("id", "field")
-    open_ = finals.where("mark in ('open', 'dots')").select("id", "field", F.xxhash64("field", "k3", "k2").alias("__k"))
+    open_ = finals.select("id", "field", F.xxhash64("field", "k3", "k2").alias("__k"))
     return known.union(lookup(open_, verdict, "__k", ["id", "field"], "inner").select("id", "field"))
 
 
