@@ -110,7 +110,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     blocks = placed.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("t"))
     blocks = cut(blocks.selectExpr("*", f"row_number() over (partition by source order by xxhash64(block, {seed}), block) - 1 as nr", f"sum(t) over (partition by source order by xxhash64(block, {seed}), block) - t as before"))
     # Draws: every block once a pass, and in the last pass the blocks that begin before the rest ends.
-    draws = blocks.select("source", "block", "nr", "before", "rest", "passes", F.explode(F.sequence(F.lit(0), F.when(F.col("before") < F.col("rest"), F.col("passes")).otherwise(F.col("passes") - 1), F.lit(1))).alias("copy")).where("copy >= 0 and (copy < passes or before < rest)")
+    draws = blocks.select("source", "block", "nr", "before", "rest", "passes", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("copy")).where("copy < passes or before < rest")
     order = draws.selectExpr("*", f"row_number() over (partition by source order by xxhash64(block, copy, {seed + 1}), block, copy) - 1 as draw")
     order = cut(order)
     quotas = {r["source"]: r["n"] for r in order.groupBy("source").agg(F.count("*").alias("n")).collect()}
