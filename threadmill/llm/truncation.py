@@ -24,13 +24,16 @@ _DECORATION = r"[\s\x{a0}\x{3000}\x{200b}\x{feff}~～」』】\"'*_]+$"
 _ELLIPSIS = r"(?:…|⋯|\.\.)[….。⋯]*$"
 _STOP = r"[。！？!?.．｡](?:[)）」』\"'’”]*)$"
 
-#: Words: Latin runs, the last digit of a number, one character of Han/kana/Hangul; and
-#: sentence ends. It runs over text in which _SAME has made digits 0 and ends $.
-_TOKEN = r"([a-z]+(?:['’][a-z]+)?|0(?!0)|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsHangul}]|\$|\.(?=[\s\p{Punct}]|$))"
+#: Words: Latin runs, the last digit of a number (or of a code of digits and letters), one
+#: character of Han/kana/Hangul; and sentence ends. It runs over text in which _SAME has
+#: made digits 0 and ends $.
+_TOKEN = r"((?<![a-z0])[a-z]++(?:['’][a-z]++)?(?!0)|0(?=[a-z]*+(?!0))|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsHangul}]|\$|\.(?=[\s\p{Punct}]|$))"
 _SAME = ("123456789。！？!?\n\r｡\u200b\ufeff", "0" * 9 + "$" * 8)
 
 MIN_SEEN = 8
-MAX_RATE = 0.02
+MAX_RATE = 0.1
+#: Texts that begin with two "label: value" lines end their lines where prose goes on, so they are counted apart.
+_LINES = r"^[^\n:：]{1,20}[:：][^\n]*\n[^\n:：]{1,20}[:：]"
 
 
 def _words(text: Column) -> Column:
@@ -39,8 +42,9 @@ def _words(text: Column) -> Column:
 
 
 def fields_of(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id, field, mark, stem): one row per non-empty field, with what surrounds its end.
+    """(id, field, kind, mark, stem): one row per non-empty field, with what surrounds its end.
 
+    kind is the field, with # for label-value lines.
     mark is 'cut' where the platform or a broken character says so, 'open' where the end
     shows neither a full stop nor anything like it, 'dots' for an ellipsis, else 'stop'.
     stem is the text without what follows its last word.
@@ -54,23 +58,24 @@ def fields_of(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     mark = F.when(sure, "cut").when(bare.rlike(_ELLIPSIS), "dots").when(bare.rlike(_STOP), "stop").otherwise("open")
     marked = rows.select("id", "field", "s", mark.alias("mark"))
     stem = F.when(F.col("mark") == "cut", F.regexp_replace(F.regexp_replace(F.col("s"), "(?i)" + _MORE, ""), _BROKEN, "")).otherwise(F.col("s"))
-    return marked.select("id", "field", "mark", stem.alias("stem"))
+    kind = F.concat("field", F.when(F.col("s").rlike(_LINES), "#").otherwise(""))
+    return marked.select("id", "field", kind.alias("kind"), "mark", stem.alias("stem"))
 
 
 def trigram_ends(rows: DataFrame) -> DataFrame:
-    """(field, k3, k2, lat, goes_on, ends): how often each trigram goes on or ends a sentence.
+    """(kind, k3, k2, lat, goes_on, ends): how often each trigram goes on or ends a sentence.
 
     Open ends of whole texts are counted apart, once per distinct text. k3 and k2 are
     hashes of the last three and two words; lat holds the words where the last is Latin.
     Map-side partial aggregation leaves distinct trigrams per task; hot trigrams arrive
     pre-counted.
     """
-    words = rows.select("field", _words(F.col("stem")).alias("t"))
+    words = rows.select("kind", _words(F.col("stem")).alias("t"))
     return rows.sparkSession.sql(
         """
-        with g as (select field, inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) as (a, b, c, d)
+        with g as (select kind, inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) as (a, b, c, d)
                    from {words} where size(t) > 3)
-        select field, xxhash64(a, b, c) as k3, xxhash64(b, c) as k2, case when ascii(c) between 97 and 122 then concat_ws(' ', a, b, c) end as lat,
+        select kind, xxhash64(a, b, c) as k3, xxhash64(b, c) as k2, case when ascii(c) between 97 and 122 then concat_ws(' ', a, b, c) end as lat,
                count_if(d not in ('$', '.')) as goes_on, count_if(d in ('$', '.')) as ends
         from g where c not in ('$', '.') and d is not null group by all
         """,
@@ -79,12 +84,12 @@ def trigram_ends(rows: DataFrame) -> DataFrame:
 
 
 def text_finals(rows: DataFrame) -> DataFrame:
-    """(id, field, k3, k2, whole): the last trigram of each open-ended text and a hash of the text."""
+    """(id, field, kind, k3, k2, whole): the last trigram of each open-ended text and a hash of the text."""
     ended = F.regexp_replace("stem", r"[^\p{L}\p{N}]+$", "")
-    words = rows.where("mark in ('open', 'dots')").select("id", "field", _words(ended).alias("t"))
+    words = rows.where("mark in ('open', 'dots')").select("id", "field", "kind", _words(ended).alias("t"))
     return rows.sparkSession.sql(
         """
-        select id, field, xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) as k3, xxhash64(element_at(t, -2), element_at(t, -1)) as k2,
+        select id, field, kind, xxhash64(element_at(t, -3), element_at(t, -2), element_at(t, -1)) as k3, xxhash64(element_at(t, -2), element_at(t, -1)) as k2,
                xxhash64(array_join(t, ' ')) as whole
         from {words} where size(t) > 2
         """,
@@ -107,24 +112,24 @@ def truncated(df: DataFrame, key: str, fields: list[str], min_seen: int = MIN_SE
     rows = fields_of(df, key, fields)
     inside = cut(trigram_ends(rows))
     finals = cut(text_finals(rows))
-    tail = finals.groupBy("field", "k3", "k2").agg(F.count_distinct("whole").alias("texts"))
+    tail = finals.groupBy("kind", "k3", "k2").agg(F.count_distinct("whole").alias("texts"))
     # A last word cut inside: count each Latin word under all its beginnings.
-    begun = inside.where("lat is not null").selectExpr("field", "goes_on + ends as n", "substring_index(lat, ' ', 2) as ab", "substring_index(lat, ' ', -1) as c")
-    begun = begun.selectExpr("field", "n", "ab", "explode(transform(sequence(1, greatest(length(c) - 1, 1)), i -> substring(c, 1, i))) as p", "length(c) as l").where("length(p) < l")
-    begun = begun.selectExpr("field", "xxhash64(split(ab, ' ')[0], split(ab, ' ')[1], p) as k3", "xxhash64(split(ab, ' ')[1], p) as k2", "n as goes_on", "cast(0 as bigint) as ends", "cast(0 as bigint) as texts")
+    begun = inside.where("lat is not null").selectExpr("kind", "goes_on + ends as n", "substring_index(lat, ' ', 2) as ab", "substring_index(lat, ' ', -1) as c")
+    begun = begun.selectExpr("kind", "n", "ab", "explode(transform(sequence(1, greatest(length(c) - 1, 1)), i -> substring(c, 1, i))) as p", "length(c) as l").where("length(p) < l")
+    begun = begun.selectExpr("kind", "xxhash64(split(ab, ' ')[0], split(ab, ' ')[1], p) as k3", "xxhash64(split(ab, ' ')[1], p) as k2", "n as goes_on", "cast(0 as bigint) as ends", "cast(0 as bigint) as texts")
     counts = (
-        inside.selectExpr("field", "k3", "k2", "goes_on", "ends", "cast(0 as bigint) as texts")
-        .union(tail.selectExpr("field", "k3", "k2", "cast(0 as bigint)", "cast(0 as bigint)", "texts"))
+        inside.selectExpr("kind", "k3", "k2", "goes_on", "ends", "cast(0 as bigint) as texts")
+        .union(tail.selectExpr("kind", "k3", "k2", "cast(0 as bigint)", "cast(0 as bigint)", "texts"))
         .union(begun)
-        .groupBy("field", "k3", "k2")
+        .groupBy("kind", "k3", "k2")
         .agg(*[F.sum(c).alias(c) for c in ("goes_on", "ends", "texts")])
     )
     counts = cut(counts)
-    two = counts.groupBy("field", "k2").agg(*[F.sum(c).alias(f"{c}2") for c in ("goes_on", "ends", "texts")])
+    two = counts.groupBy("kind", "k2").agg(*[F.sum(c).alias(f"{c}2") for c in ("goes_on", "ends", "texts")])
     judged = F.when(F.col("goes_on") + F.col("ends") + F.col("texts") >= min_seen, _never_ends("goes_on", "ends", "texts", min_seen, max_rate)).otherwise(_never_ends("goes_on2", "ends2", "texts2", min_seen, max_rate))
-    verdict = tail.select("field", "k3", "k2").join(counts, ["field", "k3", "k2"]).join(two, ["field", "k2"]).select(F.xxhash64("field", "k3", "k2").alias("__k"), judged.alias("never_ends")).where("never_ends")
+    verdict = tail.select("kind", "k3", "k2").join(counts, ["kind", "k3", "k2"]).join(two, ["kind", "k2"]).select(F.xxhash64("kind", "k3", "k2").alias("__k"), judged.alias("never_ends")).where("never_ends")
     known = rows.where("mark = 'cut'").select("id", "field")
-    open_ = finals.select("id", "field", F.xxhash64("field", "k3", "k2").alias("__k"))
+    open_ = finals.select("id", "field", F.xxhash64("kind", "k3", "k2").alias("__k"))
     return known.union(lookup(open_, verdict, "__k", ["id", "field"], "inner").select("id", "field"))
 
 
