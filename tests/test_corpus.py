@@ -188,9 +188,9 @@ def test_files(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
+    src.mkdir()
     kind = "keyword string, note_id string, at timestamp"
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(src))
-    src.mkdir()
     for k, rows in enumerate([[("a", "1"), ("a", "1"), ("b", "2")], [("a", "1")], [("a", "1"), ("b", "3")]]):
         (src / f"{k}.json").write_text("\n".join(json.dumps({"keyword": w, "note_id": n, "at": "2024-01-01T00:00:00Z"}) for w, n in rows))
     target, q = str(tmp_path / "out"), None
