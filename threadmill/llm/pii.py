@@ -29,7 +29,7 @@ _SURNAMES = set(
     "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤华施卫褚柳鲍俞费岑倪殷毕安常乐时傅皮卞齐康伍元卜穆萧祁米明计成谈茅庞纪舒屈项祝阮蓝闵席季麻强娄危童颜梅盛刁骆樊凌霍虞支柯管解应宗宣贲洪包诸左吉钮"
 )
 _COMPOUND = ["欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "司徒"]
-_NOT_GIVEN = set("的了是我你他她它们在有和跟就都也不这那哪医师生姐哥妈爸叔婶姨嫂弟妹友桌士夫先主任太总店家人牙院所个")
+_NOT_GIVEN = set("的了是我你他她它们在有和跟就都也不这那哪医师生姐哥妈爸叔婶姨嫂弟妹舅姑爷奶爹娘伯侄友桌士夫先主任太总店家人牙院所个")
 _TITLES_ZH = ["医生", "大夫", "老师", "先生", "女士", "阿姨", "师傅", "主任", "护士", "小姐", "教授", "同学", "同事", "经理"]
 _NOT_NAME_JA = {"同級生", "同僚", "先輩", "後輩", "店長", "看護師", "衛生士", "歯科衛生士", "先生", "医師", "両親", "祖母", "祖父", "友人", "家族", "主人", "旦那", "歯医者", "担当者", "受付", "姉", "妹", "兄", "弟", "母", "父", "夫", "妻", "姪", "甥", "叔父", "叔母", "娘", "息子", "彼氏", "彼女", "上司", "部長", "課長", "大学病院", "院長先生", "副院長"}
 _KO_SURNAMES = set("김이박최정강조윤장임한오서신권황안송류유전홍고문양손배백허남심노하곽성차주우구민진나지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용")
@@ -423,7 +423,7 @@ _EN_END = re.compile(r"\s*(?:[.,;!?，。！？\n]|$)")
 #: cue -> how to read a name next to it.
 _NAME_CUES: dict[str, tuple] = {
     **{c: ("zh>",) for c in ["联系人", "本人", "写着", "医生叫", "护士叫", "大夫叫", "我叫", "名叫", "姓名", "收件人", "收货人", "喊了三遍", "喊了两遍", "喊了几遍", "叫了三遍", "跟", "找", "和", "患者"]},
-    **{c: ("zh<",) for c in ["推荐的那", "推荐的", "我才反应", "一起去的", "陪我去", "介绍的", "收，", "收,", "收 "]},
+    **{c: ("zh<",) for c in ["推荐的那", "推荐的", "我才反应", "一起去的", "介绍的", "收，", "收,", "收 "]},
     **{c: ("ja>",) for c in ["連絡先は", "担当は", "受付で", "言われた、", "言われた,", "言われた ", "宛名は", "名前は", "氏名", "署名は", "号室の", "号の"]},
     **{c: ("ja<",) for c in ["宛で", "宛に", "宛て", "先生、", "さんと呼", "と一緒に", "に教わ", "様方", "が紹介"]},
     **{c: ("ko>",) for c in ["연락처는", "담당은", "접수에서", "적었다,", "적었다", "이름은", "성함은", "받는 사람"]},
