@@ -168,12 +168,12 @@ def estimate_zones(df: DataFrame, site: Column, local: Column, ingested: Column,
     declared = declared.where(F.col("site").isNotNull() & F.col("zone").isin(sorted(_NAMES)))
     known = declared.groupBy(F.lower("site").alias("site")).agg(F.min("zone").alias("__known"))
     zones = declared.select("zone").union(df.sparkSession.createDataFrame([(default,)], "zone string")).distinct()
-    fit = zone_fit(df, site, local, ingested, zones).join(known, "site", "left")
+    # Declared sites stay even without any row to align: they join with an empty count.
+    none = known.select("site", F.col("__known").alias("zone"), F.lit(0).cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("n_violations"), F.lit(None).cast("double").alias("lag_s"))
+    fit = zone_fit(df, site, local, ingested, zones).union(none).groupBy("site", "zone").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_violations").alias("n_violations"), F.max("lag_s").alias("lag_s"))
     order = F.struct((F.coalesce(F.col("__known"), F.lit("")) != F.col("zone")).alias("a"), F.col("n_violations").alias("b"), F.col("lag_s").alias("c"), (F.col("zone") != default).alias("d"), F.col("zone").alias("e"))
-    best = fit.groupBy("site").agg(F.min_by(F.struct("zone", "n_violations", "n_rows"), order).alias("__b"), F.first("__known").alias("__known"))
-    best = best.select("site", "__b.zone", "__b.n_violations", "__b.n_rows", F.col("__known").isNotNull().alias("declared"))
-    unseen = known.join(best, "site", "left_anti").select("site", F.col("__known").alias("zone"), F.lit(None).cast("bigint"), F.lit(0).cast("bigint"), F.lit(True))
-    return best.union(unseen)
+    best = fit.join(known, "site", "left").groupBy("site").agg(F.min_by(F.struct("zone", "n_violations", "n_rows"), order).alias("__b"), F.max("__known").alias("__known"))
+    return best.select("site", "__b.zone", "__b.n_violations", "__b.n_rows", F.col("__known").isNotNull().alias("declared"))
 
 
 def normalise_timestamps(df: DataFrame, key: str, local_field: str, utc_field: str, url: str, sites: DataFrame, default: str = "Asia/Shanghai") -> DataFrame:
