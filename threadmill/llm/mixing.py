@@ -73,14 +73,17 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int = 16, block_tokens: int = 50_000, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int | None = None, block_tokens: int = 50_000, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """(shard, position, source, doc_id, copy, n_tokens): the combined corpus.
 
     ``targets`` is (source, target_share, max_repeats). ``total_tokens`` defaults to the
     tokens of all documents that have a target. A source takes its share of the total, at most max_repeats
     times its own tokens; what it lacks is not given to others, so the report shows it.
 
-    The block table (one row per source and block) is the only thing that meets a window
+    Without ``shards`` there is one for every 200 million tokens, 16 at least. Blocks have
+    ``block_tokens`` tokens or a millionth of the corpus, whichever is more.
+
+    The block table (one row per source and block, a million rows at most and one more a source) is the only thing that meets a window
     over a source; documents are windowed within their block. The driver sees one row per
     source and computes sources x shards counts.
 
@@ -95,6 +98,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sized = cut(sized.join(F.broadcast(goals.select("source")), "source", "left_semi") if _few(goals) else sized.join(goals.select("source"), "source", "left_semi"))
     whole = sized.agg(F.sum("n_tokens")).first()[0] or 0
     total = total_tokens if total_tokens is not None else whole
+    shards = shards or max(16, -(-total // 200_000_000))
+    block_tokens = max(block_tokens, whole // 1_000_000)
     have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).join(goals, "source").select("source", "t").collect()}
     wanted = {r["source"]: (r["g"]["target_share"], r["g"]["max_repeats"]) for r in goals.collect()}
     plan = []

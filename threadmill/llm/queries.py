@@ -126,4 +126,44 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
 }
-ORACLE_SQL: dict[str, str] = {}
+# ---------------------------------------------------------------- oracles
+def _letters(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _canonical(c: str) -> str:
+    """SQL: letters and digits of a field; "label: value" lines in sorted order."""
+    lines = f"list_filter(regexp_split_to_array(coalesce({c}, ''), '[\\r\\n]+'), lambda x: {_letters('x')} <> '')"
+    labelled = f"len({lines}) > 1 and len(list_filter({lines}, lambda x: not regexp_matches(x, '^[^\\n:：]{{1,40}}[:：]'))) = 0"
+    return f"case when {labelled} then 'L' || array_to_string(list_sort(list_transform({lines}, lambda x: {_letters('x')})), chr(10)) else 'T' || {_letters(f"coalesce({c}, '')")} end"
+
+
+_COPIES = f"""f as (select id, {_canonical('title')} as t, {_canonical('content')} as c from notes where id is not null and {_letters("coalesce(content, '')")} <> ''),
+    g as (select id, min(id) over (partition by least(t, c), greatest(t, c)) as rep from f)"""
+_PAD = r"[\s\x{a0}\x{3000}\x{200b}\x{feff}]+"
+_POST = lambda c: f"nullif(regexp_replace(regexp_replace({c}, '^{_PAD}|{_PAD}$', '', 'g'), '^(CHI|JPN|KOR|XHS)_', ''), '')"
+_RELATED = f"""with recursive k as (select 'notes' as tbl, id as row_id, nullif(regexp_extract(lower(author_id), '(?:^|[^0-9a-f])([0-9a-f]{{24}})(?:[^0-9a-f]|$)', 1), '') as author, 'CHI:' || {_POST('note_id')} as post from notes
+    union all select 'source_posts', row_id, null, nullif(regexp_replace(country, '^{_PAD}|{_PAD}$', '', 'g'), '') || ':' || {_POST('post_id')} from source_posts),
+    o as (select distinct post, author from k where author is not null and post is not null),
+    e as (select distinct x.author as a, y.author as b from o x join o y using (post) where x.author <> y.author),
+    r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+    m as (select a as author, least(a, min(b)) as root from r group by a),
+    p as (select post, min(author) as first from o group by 1),
+    n as (select tbl, row_id, coalesce(m.root, k.author, m2.root, p.first, k.post) as group_key from k left join m on m.author = k.author left join p on p.post = k.post and k.author is null left join m m2 on m2.author = p.first),
+    c as (select *, count(*) over (partition by group_key) as size from n where group_key is not null)"""
+_SENTENCES = "regexp_split_to_array(text, '[。！？!?\\n]+|\\.\\s|\\.$')"
+_LEAKED = f"""with s as (select item_id, lang, list_filter(list_transform({_SENTENCES}, lambda x: {_letters('x')}), lambda x: x <> '') as l from eval_passages),
+    stock as (select x from (select distinct item_id, unnest(l) as x from s) group by 1 having count(*) >= 3),
+    i as (select item_id, case when lang = 'en' then 60 else 30 end as n, array_to_string(list_transform(l, lambda x: case when list_contains(st, x) then '|' else x end), '') as t from s, (select list(x) as st from stock)),
+    ig as (select item_id, n, substr(t, p, n) as g from (select item_id, n, t, unnest(range(1, length(t) - n + 2)) as p from i) where not contains(substr(t, p, n), '|')),
+    d as (select doc_id, {_letters('text')} as t from documents where text is not null),
+    dg as (select distinct doc_id, substr(t, p, n) as g from (select doc_id, n, t, unnest(range(1, length(t) - n + 2)) as p from d, (values (30), (60)) v(n))),
+    found as (select distinct doc_id, item_id from dg join ig using (g))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": f"with {_COPIES} select rep as id_a, id as id_b from g where id <> rep",
+    "p4_copies": f"with {_COPIES} select rep as id, count(*) as n_copies from g group by 1",
+    "p5_found": f"{_RELATED} select tbl, row_id, group_key from c where size > 1",
+    "p8_found": f"{_LEAKED} select doc_id, item_id from found",
+    "p8_items": f"{_LEAKED}, c as (select item_id, count(*) as docs from found group by 1) select item_set, count(*) as n_items, count(docs) as n_leaked, coalesce(sum(docs), 0)::bigint as n_documents from eval_passages left join c using (item_id) group by 1",
+}
