@@ -203,3 +203,39 @@ def test_streams(spark, tmp_path):
     q = ledger.stale_sources(stream, "keyword", "note_id", 2).writeStream.format("memory").queryName("stale").outputMode("update").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert max((r["stale"], r["stopped"]) for r in spark.table("stale").where("keyword = 'a'").collect()) == (2, True)
+
+
+def test_annotation_flow(spark):
+    from threadmill.plans.annotate import annotate
+
+    posts = spark.createDataFrame([(str(i), "CHI", "zh", f"牙疼 {i}") for i in range(6)], "post_id string, country string, language string, original_text string")
+    seen = []
+
+    def relevance(df):
+        return df.select("post_id", F.when(F.col("post_id") == "0", "R0").otherwise("R1").alias("relevance_label"), F.when(F.col("post_id") == "5", F.lit("boom")).alias("error"))
+
+    def labels(df):
+        seen.append(sorted(r[0] for r in df.select("post_id").collect()))
+        return df.select("post_id", F.lit("E1").alias("experiencer_label"), F.when(F.col("post_id") == "1", "C4").otherwise("C1").alias("content_function"))
+
+    def extract(df):
+        seen.append(sorted(r[0] for r in df.select("post_id").collect()))
+        u = spark.createDataFrame([(unit(judge_verdict="accept"),)], f"u {schema.UNIT.simpleString()}")
+        return df.select("post_id").crossJoin(u).groupBy("post_id").agg(F.collect_list("u").alias("units"))
+
+    def judge(df):
+        return df.where("post_id <> '4'").select("post_id", F.lit(1).alias("seq"), F.col("units")[0]["unit_id"].alias("unit_id"), F.lit("accept").alias("judge_verdict"))
+
+    done, errors = annotate(posts, relevance, labels, extract, judge)
+    rows = {r["post_id"]: r for r in done.collect()}
+    assert seen == [["1", "2", "3", "4"], ["2", "3", "4"]]
+    assert rows.keys() == {"0", "1", "2", "3", "4"} and [tuple(r) for r in errors.collect()] == [("5", "relevance", "boom")]
+    assert rows["0"]["stages"] == ["relevance"] and rows["1"]["stages"] == ["relevance", "labels"] and rows["2"]["stages"][-1] == "judge"
+    assert rows["2"]["units"][0]["unit_id"] == "2_u001" and rows["2"]["units"][0]["judge_verdict"] == "accept"
+    assert rows["4"]["units"][0]["judge_verdict"] == "needs_human_review" and all(r["issues"] == [] for r in rows.values())
+
+
+def test_rerank(spark):
+    c = spark.createDataFrame([("q", g, 1.0 - g / 10, g) for g in range(1, 8)], "qid string, gid long, score double, rank long")
+    s = spark.createDataFrame([("q", 3, 9.0), ("q", 2, float("nan")), ("q", 7, 99.0)], "qid string, gid long, rerank_score double")
+    assert [r["gid"] for r in retrieve.rerank(c, s, 2).orderBy("rank").collect()] == [3, 1]

@@ -79,3 +79,14 @@ def fewshot_pick(queries: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
     cand = q.join(short.drop("nth").withColumnRenamed("ql", "cl"), F.col("ql").eqNullSafe(F.col("cl"))).where("not (qc <=> gc and qk <=> gk)")
     first = cand.selectExpr("*", "row_number() over (partition by qid, label_a, label_b order by pool, gid) as nth")
     return first.selectExpr("qid", "gid", "row_number() over (partition by qid order by pool, case when nth = 1 then 0 else 1 end, gid) as rank").where(F.col("rank") <= k)
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, gid, score, rank): the first 3k candidates by rank, reordered by a second score.
+
+    ``scores`` is (qid, gid, rerank_score), of any pairs. A pair without a finite score
+    keeps its place behind those that have one.
+    """
+    pool = candidates.where(F.col("rank") <= 3 * k).join(scores, ["qid", "gid"], "left")
+    s = F.when(~F.isnan("rerank_score") & (F.abs("rerank_score") != float("inf")), F.col("rerank_score"))
+    return pool.withColumn("rerank_score", s).selectExpr("qid", "gid", "score", "row_number() over (partition by qid order by rerank_score desc nulls last, rank, gid) as rank").where(F.col("rank") <= k)

@@ -69,10 +69,13 @@ def stratified_replacement(leaked: DataFrame, pool: DataFrame, strata: list[str]
 
     Candidates are ordered by id as text. Where fingerprints repeat among candidates only
     the first of each is one, so ranks stay exact; rows beyond the candidates get null.
+    No stratum needs more candidates than the most rows that leaked in one, so tasks keep
+    only that many of each before the shuffle.
     """
+    most = leaked.groupBy(*strata).count().agg(F.max("count")).first()[0] or 0
     once = pool.where("fp_clean is not null").groupBy("fp_clean").agg(F.min(F.struct(F.col(key).cast("string").alias("o"), key, *strata)).alias("c")).select("c.*")
     by = ", ".join(strata)
-    ranked = once.selectExpr("*", f"row_number() over (partition by {by} order by o) as rn").select(*strata, "rn", F.col(key).alias("replacement"))
+    ranked = once.selectExpr("*", f"row_number() over (partition by {by} order by o) as rn").where(F.col("rn") <= most).select(*strata, "rn", F.col(key).alias("replacement"))
     wanted = leaked.selectExpr("*", f"row_number() over (partition by {by} order by {key}) as rn")
     return wanted.join(ranked, [*strata, "rn"], "left").select(F.col(key).alias("leaked"), *strata, "replacement")
 
