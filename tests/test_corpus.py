@@ -239,3 +239,24 @@ def test_rerank(spark):
     c = spark.createDataFrame([("q", g, 1.0 - g / 10, g) for g in range(1, 8)], "qid string, gid long, score double, rank long")
     s = spark.createDataFrame([("q", 3, 9.0), ("q", 2, float("nan")), ("q", 7, 99.0)], "qid string, gid long, rerank_score double")
     assert [r["gid"] for r in retrieve.rerank(c, s, 2).orderBy("rank").collect()] == [3, 1]
+
+
+def test_pages(spark):
+    from threadmill.operators import pages
+
+    html = '<a href="/explore/ab12"><span>x</span><span>A long title</span></a><a href="/explore/ab12?xsec_token=T&y=1" title="t2"></a><a href="/search_result/cd34"><img alt="pic"></a><a href="/about">no</a><a href="/discovery/item/ef56"> own text </a>'
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<a href")], "id long, html string")
+    got = {r["note_id"]: (r["title"], r["xsec_token"]) for r in pages.link_cards(df, "id", "html").collect()}
+    assert got == {"ab12": ("t2", "T"), "cd34": ("pic", ""), "ef56": ("own text", "")}
+    states = [
+        (1, json.dumps({"search": {"feeds": [{"id": "a", "noteCard": {"displayTitle": "x", "interactInfo": {"likedCount": "3"}}}, {"nope": 1}, {"id": "b", "note": {"title": "y"}}]}, "items": [{"id": "z"}]})),
+        (2, json.dumps({"search": {"noteItems": []}, "items": [{"id": "z"}]})),
+        (3, json.dumps({"note": {"noteDetailMap": {"k": {"note": {"noteId": "n", "title": "t"}}, "m": None}}})),
+        (4, None),
+    ]
+    rows = pages.search_cards(spark.createDataFrame(states, "id long, s string"), "id", "s").collect()
+    assert sorted((r["id"], r["note_id"], r["title"], r["liked_count"]) for r in rows) == [(1, "a", "x", 3), (1, "b", "y", 0), (3, "n", "t", 0)]
+    cards = spark.createDataFrame([(1, k, f"n{k}") for k in range(20)], "id long, pos int, note_id string")
+    counts = spark.createDataFrame([("n3", 5, 1, 0)], "note_id string, liked_count long, collected_count long, comment_count long")
+    first = {r["note_id"]: (r["index"], r["liked_count"]) for r in pages.first_cards(cards, counts, "id").collect()}
+    assert len(first) == 15 and first["n3"] == (4, 5) and first["n0"] == (1, 0)
