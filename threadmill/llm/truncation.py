@@ -42,35 +42,39 @@ def _words(text: Column) -> Column:
 
 
 def fields_of(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id, field, kind, mark, stem): one row per non-empty field, with what surrounds its end.
+    """(id, field, kind, s): one row per non-blank field; kind is the field, with # for label-value lines."""
+    rows = df.select(F.col(key).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("s")) for f in fields])))
+    rows = rows.where("s is not null and trim(s) <> ''")
+    return rows.select("id", "field", F.concat("field", F.when(F.col("s").rlike(_LINES), "#").otherwise("")).alias("kind"), "s")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """(id, field, kind, mark, stem): what surrounds the end of each value.
 
-    kind is the field, with # for label-value lines.
     mark is 'cut' where the platform or a broken character says so, 'open' where the end
     shows neither a full stop nor anything like it, 'dots' for an ellipsis, else 'stop'.
-    stem is the text without what follows its last word.
+    stem is the text without a platform's mark. Marks stand at the end by definition, so
+    they are looked for there only.
     """
-    rows = df.select(F.col(key).alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("s")) for f in fields])))
-    rows = rows.where("s is not null and trim(s) <> ''")
-    # Marks stand at the end by definition, so they are looked for there only.
     rows = rows.withColumn("__end", F.substring("s", -64, 64))
     bare = F.regexp_replace("__end", _DECORATION, "")
     sure = F.col("__end").rlike("(?i)" + _MORE) | F.col("__end").rlike(_BROKEN)
     mark = F.when(sure, "cut").when(bare.rlike(_ELLIPSIS), "dots").when(bare.rlike(_STOP), "stop").otherwise("open")
-    marked = rows.select("id", "field", "s", mark.alias("mark"))
+    known = rows.select("id", "field", "kind", "s", mark.alias("mark"))
     stem = F.when(F.col("mark") == "cut", F.regexp_replace(F.regexp_replace(F.col("s"), "(?i)" + _MORE, ""), _BROKEN, "")).otherwise(F.col("s"))
-    kind = F.concat("field", F.when(F.col("s").rlike(_LINES), "#").otherwise(""))
-    return marked.select("id", "field", kind.alias("kind"), "mark", stem.alias("stem"))
+    return known.select("id", "field", "kind", "mark", stem.alias("stem"))
 
 
 def trigram_ends(rows: DataFrame) -> DataFrame:
     """(kind, k3, k2, lat, goes_on, ends): how often each trigram goes on or ends a sentence.
 
-    Open ends of whole texts are counted apart, once per distinct text. k3 and k2 are
+    Open ends of whole texts are counted apart, once per distinct text; a platform's mark
+    behind a cut end counts as going on, which is what it says. k3 and k2 are
     hashes of the last three and two words; lat holds the words where the last is Latin.
     Map-side partial aggregation leaves distinct trigrams per task; hot trigrams arrive
     pre-counted.
     """
-    words = rows.select("kind", _words(F.col("stem")).alias("t"))
+    words = rows.select("kind", _words(F.col("s")).alias("t"))
     return rows.sparkSession.sql(
         """
         with g as (select kind, inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) as (a, b, c, d)
@@ -111,6 +115,7 @@ def truncated(df: DataFrame, key: str, fields: list[str], min_seen: int = MIN_SE
     """
     rows = fields_of(df, key, fields)
     inside = cut(trigram_ends(rows))
+    rows = marked(rows)
     finals = cut(text_finals(rows))
     tail = finals.groupBy("kind", "k3", "k2").agg(F.count_distinct("whole").alias("texts"))
     # A last word cut inside: count each Latin word under all its beginnings.
