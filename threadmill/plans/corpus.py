@@ -308,10 +308,10 @@ def ledger_first(spark, d):
     return k.groupBy("note_id").agg(F.min(F.struct("collected_at", "id", "keyword")).alias("r")).select("note_id", "r.id", "r.keyword")
 
 
-@query("select keyword, count(distinct note_id) as n_notes, count(*) as n_rows, max(collected_at) as last_at from keyword_progress group by 1")
+@query("select keyword, count(distinct note_id) as n_notes, count(*) as n_rows, epoch_us(max(collected_at)) as last_micros from keyword_progress group by 1")
 def ledger_progress(spark, d):
     """Collected notes per keyword."""
-    return table(spark, d, "keyword_progress").groupBy("keyword").agg(F.count_distinct("note_id").alias("n_notes"), F.count("*").alias("n_rows"), F.max("collected_at").alias("last_at"))
+    return table(spark, d, "keyword_progress").groupBy("keyword").agg(F.count_distinct("note_id").alias("n_notes"), F.count("*").alias("n_rows"), F.unix_micros(F.max("collected_at")).alias("last_micros"))
 
 
 @query("select keyword, count(*) as n, count(*) filter (ended_at is null or ended_at = '') as n_open, cast(sum(actions) as bigint) as actions, cast(sum(notes_opened) as bigint) as opened, arg_max(started_at, id) as last_start from sessions group by 1")
@@ -325,14 +325,14 @@ def session_ledger(spark, d):
     """with f as (select note_id, min(collected_at) as t from keyword_progress where note_id is not null group by 1),
     b as (select date_trunc('hour', collected_at) as h, count(*) filter (collected_at = f.t) as fresh from keyword_progress k left join f using (note_id) where collected_at is not null group by 1),
     m as (select *, sum(case when fresh > 0 then 1 else 0 end) over (order by h) as run from b)
-    select cast(run as bigint) as run, min(h) as first, max(h) as last, count(*) as n from m where fresh = 0 group by 1 having count(*) >= 2"""
+    select cast(run as bigint) as run, epoch_us(min(h)) as first, epoch_us(max(h)) as last, count(*) as n from m where fresh = 0 group by 1 having count(*) >= 2"""
 )
 def stale_hours(spark, d):
     """Stretches of at least two hourly batches that brought no new note."""
     k = table(spark, d, "keyword_progress").where("collected_at is not null")
     f = k.where("note_id is not null").groupBy("note_id").agg(F.min("collected_at").alias("t"))
     b = k.join(f, "note_id", "left").groupBy(F.date_trunc("hour", "collected_at").alias("h")).agg(F.count_if(F.col("collected_at") == F.col("t")).alias("fresh"))
-    return store.stale_runs(b, "h", "fresh", 2)
+    return store.stale_runs(b, "h", "fresh", 2).withColumn("first", F.unix_micros("first")).withColumn("last", F.unix_micros("last"))
 
 
 _RATED = "r as (select doc_id, max(reading_level) filter (rater = 'rater_1') as a, max(reading_level) filter (rater = 'rater_2') as b from level_labels group by 1)"
