@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.functions.joins import lookup
+from threadmill.functions.joins import SALTS, lookup
 from threadmill.llm.formatdups import _mix, fold_table, poly_hashes
 from threadmill.llm.groupsplit import _PAD, post_key
 from threadmill.session import cut
@@ -138,17 +138,23 @@ def cross_split_pairs(manifest: DataFrame, posts: DataFrame, training: str = "ma
     entries = manifest.where("split is not null and entry_id is not null").select("entry_id", (F.col("split") == training).alias("main"), _entry_key(F.col("country"), F.col("post_id")).alias("ckey"), post_key(F.col("country"), F.col("post_id")).alias("post"))
     rows = post_texts(posts)
     hashed = rows.select("row_id", "text").mapInArrow(_hashed, "row_id bigint, h1 bigint, h2 bigint")
-    groups = hashed.groupBy("h1", "h2").agg(F.min("row_id").alias("rep"))
-    reps = hashed.join(groups, ["h1", "h2"]).select("row_id", "rep")
+    hashed = hashed.select("row_id", F.concat_ws(":", "h1", "h2").alias("h"))
+    groups = hashed.groupBy("h").agg(F.min("row_id").alias("rep"))
+    reps = lookup(hashed, groups, "h", ["row_id"], "inner").select("row_id", "rep")
     carried = cut(rows.select("row_id", "ckey").where("ckey is not null").join(reps, "row_id").select("ckey", "rep").distinct())
     held = cut(entries.where("ckey is not null").join(carried, "ckey").select("entry_id", "main", "rep").distinct())
     sides = cut(held.groupBy("rep").agg(F.bool_or("main").alias("main"), F.bool_or(~F.col("main")).alias("eval")))
     texts = rows.select(F.col("row_id").alias("rep"), "text")
     pairs = similar_texts(texts, sides)
-    side = lambda main, name, rep: held.where(F.col("main") == main).select(F.col("entry_id").alias(name), F.col("rep").alias(rep))
-    by_text = pairs.join(side(False, "a", "e"), "e").join(side(True, "b", "m"), "m").select("a", "b")
+    # One text or post may have a third of all entries: one side of each pair is spread
+    # over salts, the other repeated for each.
+    spread = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int"))
+    repeat = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    side = lambda main, name, rep: spread(held.where(F.col("main") == main).select(F.col("entry_id").alias(name), F.col("rep").alias(rep)), name)
+    by_text = repeat(pairs).join(side(False, "a", "e"), ["e", "salt"]).drop("salt")
+    by_text = repeat(by_text).join(side(True, "b", "m"), ["m", "salt"]).select("a", "b")
     of = lambda main, name: entries.where(F.col("post").isNotNull() & (F.col("main") == main)).select(F.col("entry_id").alias(name), "post")
-    by_post = of(False, "a").join(of(True, "b"), "post").select("a", "b")
+    by_post = repeat(of(False, "a")).join(spread(of(True, "b"), "b"), ["post", "salt"]).select("a", "b")
     return by_text.union(by_post).select(F.least("a", "b").alias("entry_a"), F.greatest("a", "b").alias("entry_b")).distinct()
 
 
