@@ -49,7 +49,9 @@ def test_read_zone():
     assert [read_zone(z) for z in ("Z", "+8", "-0730", "(UTC+9)", "JST", "+19", "Nowhere/City")] == ["Z", "+08:00", "-07:30", "+09:00", "+09:00", None, None]
 
 
-def test_instants_and_daylight_saving(spark):
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_instants_and_daylight_saving(spark, monkeypatch, bound):
+    monkeypatch.setattr("threadmill.operators.timestamps.MAX_BROADCAST_SITES", bound)
     sites = spark.createDataFrame([("ny.example", "America/New_York"), ("cn.example", "Asia/Shanghai")], "site string, zone string")
     rows = [
         (1, "2024-11-03 01:30:00", "2024-11-05 00:00:00", "HTTPS://M.NY.example/x"),  # occurs twice: the earlier

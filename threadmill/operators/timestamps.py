@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadmill.functions.joins import lookup
+from threadmill.session import cut
+
 # Words for halves of the day, zone abbreviations without daylight saving
 # and English month names, as they occur in the notations read here.
 _PM = ["下午", "晚上", "中午", "午後", "오후", "pm", "p.m."]
@@ -117,6 +120,8 @@ def site_host(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(host, r"^(?:(?:www|m)\.)+", ""), F.lit(""))
 
 
+#: Up to so many sites are broadcast; more are looked up under a salt.
+MAX_BROADCAST_SITES = 100_000
 _SLOT_S = 900  # zone offsets are whole quarter hours
 _REACH_S = 15 * 3600  # no offset is further from UTC
 
@@ -192,7 +197,9 @@ def normalise_timestamps(df: DataFrame, key: str, local_field: str, utc_field: s
     rows = df.select(F.col(key), read_notation(local_field).alias("__l"), read_notation(utc_field).alias("__u"), site_host(F.col(url)).alias("__site"))
     utc = instant_micros(F.col("__u"), F.lit("Z"))
     zones = estimate_zones(rows.where((F.col("__l.zone") == "") & (F.col("__site") != "")), F.col("__site"), F.col("__l.wall"), utc, sites, default)
-    zoned = rows.join(zones.select(F.col("site").alias("__site"), F.col("zone").alias("__zone")), "__site", "left")
+    zones = cut(zones.select(F.col("site").alias("__site"), F.col("zone").alias("__zone")))
+    few = zones.limit(MAX_BROADCAST_SITES + 1).count() <= MAX_BROADCAST_SITES
+    zoned = rows.join(F.broadcast(zones), "__site", "left") if few else lookup(rows, zones, "__site", [key])
     both = F.array(
         F.struct(F.lit(local_field).alias("field"), instant_micros(F.col("__l"), F.coalesce(F.col("__zone"), F.lit(default))).alias("utc_micros")),
         F.struct(F.lit(utc_field).alias("field"), utc.alias("utc_micros")),
