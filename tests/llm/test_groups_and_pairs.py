@@ -110,3 +110,27 @@ def test_near_pairs_against_brute_force(spark):
     want = {(min(a[0], b[0]), max(a[0], b[0])) for a, x in zip(manifest, posts) if a[1] != "main" for b, y in zip(manifest, posts) if b[1] == "main" and shared_wording(x[4], y[4]) >= 0.7}
     got = {tuple(r) for r in cross_split_pairs(m, p).collect()}
     assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_pairs_at_three_quarters_all_meet(spark):
+    # Texts of several lengths, edited to 0.70-0.80 shared triples: the end cut off, letters
+    # exchanged here and there, a stretch inserted.
+    rng = random.Random(12)
+    manifest, posts = [], []
+    for k in range(240):
+        a = s = text(500 + k, 20 + 15 * (k % 4))
+        while shared_wording(a, s) > 0.80:
+            at = rng.randrange(len(s))
+            if k % 3 == 0:
+                s = s[:-1]
+            elif k % 3 == 1:
+                s = s[:at] + rng.choice("甲乙丙丁戊己") + s[at + 1 :]
+            else:
+                s = s[:at] + "".join(rng.choice("甲乙丙丁戊己") for _ in range(4)) + s[at:]
+        for j, (split, x) in enumerate((("main", a), ("eval_holdout", s))):
+            manifest.append((2 * k + j, split, f"p{2 * k + j}", "CHI", 0))
+            posts.append((2 * k + j, f"p{2 * k + j}", "CHI", None, x, None, None, 0))
+    m, p = entries(spark, manifest, posts)
+    want = {(2 * k, 2 * k + 1) for k in range(240) if shared_wording(posts[2 * k][4], posts[2 * k + 1][4]) >= 0.7}
+    assert len(want) > 200
+    assert want <= {tuple(r) for r in cross_split_pairs(m, p).collect()}

@@ -1,17 +1,17 @@
 """Same or nearly the same records across splits.
 
-Texts are reduced to letters and digits; equal ones are one text from then on. Every
-distinct text has a 256-bit similarity fingerprint of its character pairs. Fingerprints
-are permuted 64 times; the leading 20 bits of each permutation are a code block, and
-texts of an evaluation split meet training texts with an equal block. Pairs within the
-Hamming radius have their wording compared. Measured on the test tables, texts sharing
-three quarters of their wording differ in at most 14 % of the bits and meet with a
-probability of 0.999; unrelated posts, though made of the same stock sentences, differ
-in 48 % (0.1 % of them in less than 34 %).
+Texts are reduced to letters and digits; equal ones are one text from then on. A text is
+the set of its character triples, repeated ones numbered. The triples are ordered by
+frequency, rarest first, the same order for all texts; two texts that share enough of
+them share one of the first triples of both (prefix filter), so texts of the evaluation
+splits meet training texts at these. No pair that reaches SHARED is missed, whatever the
+order. Pairs are dropped by bounds that hold for every pair (lengths, places of the triple
+they met at, parities of 512 bits), and what remains has its wording compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,13 +25,11 @@ from threadmill.llm.formatdups import _mix, fold_table, poly_hashes
 from threadmill.llm.groupsplit import _PAD, post_key
 from threadmill.session import cut
 
-BITS = 256
-TABLES = 64
-BLOCK = 20
-RADIUS = 72
+BITS = 512
+WORDS = BITS // 64
 SHARED = 0.7
-_ORDER = np.stack([np.random.default_rng(11 + t).permutation(BITS)[:BLOCK] for t in range(TABLES)])
-_WEIGHTS = (1 << np.arange(BLOCK, dtype=np.int64))[None, :]
+#: Triples are counted in 2^20 cells; triples of one cell take its count together.
+CELL_BITS = 20
 
 
 def _kept(text: str) -> np.ndarray:
@@ -39,21 +37,33 @@ def _kept(text: str) -> np.ndarray:
     return codes[codes != 0]
 
 
-def fingerprint(text: str) -> np.ndarray:
-    """The 256 bits of a text's character pairs; each different pair votes once."""
-    codes = _kept(text).astype(np.uint64)
-    pairs = np.unique(codes[:-1] * np.uint64(0x200000) + codes[1:]) if len(codes) > 1 else codes
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(pairs), 4096):
-        part = pairs[at : at + 4096]
-        words = np.stack([_mix(part + np.uint64((0x9E3779B97F4A7C15 * (s + 1)) & 0xFFFFFFFFFFFFFFFF)) for s in range(BITS // 64)], 1)
-        votes += 2 * np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64) - len(part)
-    return votes > 0
+def triples(text: str) -> np.ndarray:
+    """Hashes of a text's character triples; the k-th of equal ones has a hash of its own."""
+    c = np.pad((codes := _kept(text)).astype(np.uint64), (0, max(0, 3 - len(codes))))
+    h = _mix(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])
+    _, where, counts = np.unique(h, return_inverse=True, return_counts=True)
+    nth = np.empty(len(h), np.uint64)
+    nth[np.argsort(where, kind="stable")] = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _mix(h + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
-def code_blocks(bits: np.ndarray) -> np.ndarray:
-    """The leading block of every permutation, tagged with the permutation's number."""
-    return (bits[_ORDER] * _WEIGHTS).sum(1) + (np.arange(TABLES, dtype=np.int64) << BLOCK)
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def needed(n: int) -> int:
+    """The least number of shared triples of a pair whose longer text has n."""
+    return math.ceil(SHARED * n - 1e-9)
+
+
+def leading(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest triples of a text, in order: any that shares SHARED of them has one of these."""
+    return h[np.lexsort((h, counts[_cells(h)]))[: len(h) - needed(len(h)) + 1]]
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of its triples: they differ in no more bits than triples."""
+    return (np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)
 
 
 def shared_wording(a: str, b: str) -> float:
@@ -76,17 +86,23 @@ def _entry_key(country: Column, post: Column) -> Column:
     return F.concat(F.regexp_replace(country, _PAD, ""), F.lit(":"), F.regexp_replace(post, _PAD, ""))
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << CELL_BITS, np.int64)
     for b in batches:
-        texts = b.column(1).to_pylist()
-        if not texts:
-            continue
-        bits = np.stack([fingerprint(s) for s in texts])
-        words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-        blocks = np.stack([code_blocks(x) for x in bits])
-        flat = pa.array(blocks.reshape(-1))
-        offsets = pa.array(np.arange(0, blocks.size + 1, TABLES, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, k]) for k in range(4)), pa.ListArray.from_arrays(offsets, flat)], names=["rep", "c0", "c1", "c2", "c3", "blocks"])
+        for s in b.column(0).to_pylist():
+            np.add.at(total, _cells(triples(s)), 1)
+    cells = np.flatnonzero(total)
+    for at in range(0, len(cells), 1 << 16):
+        part = cells[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["cell", "n"])
+
+
+def triple_counts(texts: DataFrame) -> np.ndarray:
+    """How many triples of ``texts`` fall into each of the cells."""
+    rows = texts.select("text").mapInArrow(_counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2^CELL_BITS rows
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return counts
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,18 +122,34 @@ def similar_texts(texts: DataFrame, sides: DataFrame) -> DataFrame:
     """(e, m): evaluation texts and the training texts of nearly the same wording.
 
     ``texts`` is (rep, text) of distinct texts, ``sides`` (rep, main, eval) says on which
-    sides a text stands. Blocks of many training texts are spread under a salt; only
+    sides a text stands. Triples of many training texts are spread under a salt; only
     pairs across the splits are formed, never pairs within a group.
     """
-    coded = cut(texts.join(sides, "rep").select("rep", "text").mapInArrow(_coded, "rep bigint, c0 bigint, c1 bigint, c2 bigint, c3 bigint, blocks array<bigint>"))
-    sided = coded.join(sides, "rep")
+    texts = cut(texts.join(sides, "rep").select("rep", "text"))
+    counts = texts.sparkSession.sparkContext.broadcast(triple_counts(texts))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            each = [triples(s) for s in b.column(1).to_pylist()]
+            words = np.packbits(np.stack([parities(h) for h in each]), axis=1).view(">i8").astype(np.int64)
+            first = [leading(h, counts.value).view(np.int64) for h in each]
+            offsets = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(first)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in each], pa.int32()), *(pa.array(words[:, k]) for k in range(WORDS)), lists], names=["rep", "n", *(f"c{k}" for k in range(WORDS)), "leading"])
+
+    sided = cut(texts.mapInArrow(coded, f"rep bigint, n int, {', '.join(f'c{k} bigint' for k in range(WORDS))}, leading array<bigint>")).join(sides, "rep")
     salts = 4
-    a = sided.where("eval").select(F.col("rep").alias("e"), *[F.col(f"c{k}").alias(f"e{k}") for k in range(4)], F.explode("blocks").alias("block"))
+    a = sided.where("eval").select(F.col("rep").alias("e"), F.col("n").alias("ne"), *[F.col(f"c{k}").alias(f"e{k}") for k in range(WORDS)], F.posexplode("leading").alias("pe", "triple"))
     a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    m = sided.where("main").select(F.col("rep").alias("m"), *[F.col(f"c{k}").alias(f"m{k}") for k in range(4)], F.explode("blocks").alias("block"))
+    m = sided.where("main").select(F.col("rep").alias("m"), F.col("n").alias("nm"), *[F.col(f"c{k}").alias(f"m{k}") for k in range(WORDS)], F.posexplode("leading").alias("pm", "triple"))
     m = m.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(salts)).cast("int"))
-    far = sum((F.bit_count(F.col(f"e{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(1, 4)), F.bit_count(F.col("e0").bitwiseXOR(F.col("m0"))))
-    near = cut(a.join(m, ["block", "salt"]).where((F.col("e") != F.col("m")) & (far <= RADIUS)).select("e", "m").distinct())
+    need = F.ceil(F.greatest("ne", "nm") * F.lit(SHARED) - F.lit(1e-9))
+    # At the first triple a pair shares, no more are left than stand from there on in either.
+    left = F.least(F.col("ne") - F.col("pe"), F.col("nm") - F.col("pm")) >= need
+    far = sum((F.bit_count(F.col(f"e{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("e0").bitwiseXOR(F.col("m0"))))
+    near = cut(a.join(m, ["triple", "salt"]).where((F.col("e") != F.col("m")) & left & (far <= F.col("ne") + F.col("nm") - 2 * need)).select("e", "m").distinct())
     t = texts.join(near.select(F.col("e").alias("rep")).union(near.select(F.col("m").alias("rep"))).distinct(), "rep", "left_semi")
     t = cut(t)
     pairs = lookup(lookup(near, t.select(F.col("rep").alias("e"), F.col("text").alias("x")), "e", ["m"], "inner"), t.select(F.col("rep").alias("m"), F.col("text").alias("y")), "m", ["e"], "inner")
