@@ -147,6 +147,18 @@ def test_fewshot_equals_loop(spark):
         assert [got[qid][i + 1] for i in range(8)] == [g[0] for g in out[:8]]
 
 
+def test_fewshot_of_a_post_with_many_rows(spark):
+    # The query's own post leads both label pairs and has more rows than k allows for.
+    own = [(i, "A", "1", "zh", "x", "p" if i < 40 else "q") for i in range(60)]
+    rest = [(100 + i, "A", str(2 + i % 4), "zh", "x", "p") for i in range(6)] + [(200, "B", "9", "zh", "x", "q"), (200, "B", "9", "zh", "x", "q"), (201, "B", "1", "ja", "y", "p")]
+    q = spark.createDataFrame([(1, "A", "1", "zh"), (2, "B", "9", "zh")], "id long, country string, canonical string, language string")
+    g = spark.createDataFrame(own + rest, "id long, country string, canonical string, language string, label_a string, label_b string")
+    got = {}
+    for r in retrieve.fewshot_pick(q, g, 8).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["gid"])
+    assert got == {1: [100, 200, 101, 102, 103, 104, 105, 200], 2: [0, 40, 1, 2, 3, 4, 5, 6]}
+
+
 def test_cleaning_and_dates(spark):
     df = spark.createDataFrame([("ｔ&amp;t", "a​b\r\n\n\n\nhttps://x.y/z  c", "3天前"), (None, "", "05-20"), (None, None, "2023年1月2日")], "t string, b string, d string")
     rows = df.select(clean.clean_text(F.col("t"), F.col("b")).alias("c"), clean.recover_date(F.col("d"), F.to_date(F.lit("2024-03-01"))).alias("d")).collect()

@@ -65,18 +65,24 @@ def fewshot_pick(queries: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
     Sides are (id, country, canonical, language) and, for gold, (label_a, label_b). The
     query's own post is left out. Within a pool the first row of every label pair comes
     before the rest, in id order. Queries of one language and country see the same order,
-    so picks are made per (language, country) on the gold side and only the query's own
-    post is removed afterwards: k + 1 per class suffice.
+    so candidates are kept per language on the gold side and the query's own post is
+    removed afterwards. A post may have any number of gold rows: of each label pair the
+    first row of the two earliest posts is kept, and the first 2k of all rows when each
+    post counts with its first k, so that whatever post drops out, k and every pair's
+    first remain.
     """
     classes = queries.select("language").distinct().withColumnRenamed("language", "ql")
     g = gold.select(F.col("id").alias("gid"), F.col("country").alias("gc"), F.col("canonical").alias("gk"), F.col("language").alias("gl"), "label_a", "label_b")
     pooled = F.broadcast(classes).join(g, how="cross").withColumn("pool", F.when(F.coalesce(F.col("ql") == F.col("gl"), F.lit(False)), 0).otherwise(1))
-    # Own posts drop out per query; the order of the rest depends on what dropped, so the
-    # two first of each pair and k + 2 of the order are kept as candidates.
-    lead = pooled.selectExpr("*", "row_number() over (partition by ql, label_a, label_b order by pool, gid) as nth")
-    short = lead.where("nth <= 2").union(lead.where("nth > 2").selectExpr("*", "row_number() over (partition by ql order by pool, gid) as r").where(F.col("r") <= 2 * k + 2).drop("r"))
+    firsts = pooled.selectExpr("*", "row_number() over (partition by ql, label_a, label_b, gc, gk order by pool, gid) as r").where(F.col("r") == 1)
+    firsts = firsts.selectExpr("* except (r)", "row_number() over (partition by ql, label_a, label_b order by pool, gid) as r").where(F.col("r") <= 2)
+    rest = pooled.selectExpr("*", "row_number() over (partition by ql, gc, gk order by pool, gid) as r").where(F.col("r") <= k)
+    rest = rest.selectExpr("* except (r)", "row_number() over (partition by ql order by pool, gid) as r").where(F.col("r") <= 2 * k)
+    # A row in both counts once, rows that are equal in all columns as often as they are there.
+    both = firsts.withColumn("of", F.lit(0)).union(rest.withColumn("of", F.lit(1))).drop("r")
+    short = both.selectExpr("*", f"row_number() over (partition by {', '.join(both.columns)} order by gid) as same").drop("of").distinct()
     q = queries.select(F.col("id").alias("qid"), F.col("country").alias("qc"), F.col("canonical").alias("qk"), F.col("language").alias("ql"))
-    cand = q.join(short.drop("nth").withColumnRenamed("ql", "cl"), F.col("ql").eqNullSafe(F.col("cl"))).where("not (qc <=> gc and qk <=> gk)")
+    cand = q.join(short.drop("same").withColumnRenamed("ql", "cl"), F.col("ql").eqNullSafe(F.col("cl"))).where("not (qc <=> gc and qk <=> gk)")
     first = cand.selectExpr("*", "row_number() over (partition by qid, label_a, label_b order by pool, gid) as nth")
     return first.selectExpr("qid", "gid", "row_number() over (partition by qid order by pool, case when nth = 1 then 0 else 1 end, gid) as rank").where(F.col("rank") <= k)
 
