@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from threadmill.llm.leakage import leaked_items, leaks
+from threadmill.llm.leakage import _Index, codes_of, leaked_items, leaks
 from threadmill.llm.mixing import mix, mix_shares, splitting_tree, token_counts
 from threadmill.llm.readlevel import MAX_BROADCAST_WORDS, coverage, hard_documents, reading_levels
 from threadmill.llm.truncation import truncated, truncation_rates
@@ -14,6 +15,24 @@ def words(rng, n, pool="牙疼痛医生看了左上第二颗磨突然像针扎
     return "".join(rng.choice(pool) for _ in range(n))
 
 
+@pytest.mark.parametrize("block_chars", [4_000_000, 100])
+def test_stock_counts_items_not_rows(spark, block_chars):
+    # One sentence twice in an item (or in two rows of it) and once in another isn't stock.
+    rng = random.Random(8)
+    twice, rows, three = (words(rng, 40) + "。" for _ in range(3))
+    items = [(1, twice + three + twice), (2, twice), (3, rows + three), (3, rows), (4, rows + three)]
+    i = spark.createDataFrame([(k, "test", "zh", t) for k, t in items], "item_id long, item_set string, lang string, text string")
+    d = spark.createDataFrame([(k, t) for k, t in enumerate((twice, rows, three))], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, i, block_chars=block_chars).collect()} == {(0, 1), (0, 2), (1, 3), (1, 4)}
+
+
+def test_items_far_apart_on_one_diagonal():
+    code = codes_of(words(random.Random(6), 40))
+    empty = np.zeros(0, np.uint32)
+    found = _Index(list(range(4097)), [code, *[empty] * 4095, code]).overlaps(code)
+    assert set(found) == {0, 4096} and found[0] == found[4096]
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(2)
     items = [(k, "test", "en" if k % 5 == 0 else "zh", words(rng, 70) + "，" + words(rng, 50) + "。" + STOCK) for k in range(12)]

@@ -51,14 +51,17 @@ def seed_hashes(codes: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
-def stock_sentences(items: list[tuple[int, str]], several: int) -> set[bytes]:
-    """Sentences (as folded codes) that stand in at least ``several`` different items."""
-    where: dict[bytes, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        for a, b in _sentences(text):
-            if len(c := codes_of(text[a:b])):
-                where.setdefault(c.tobytes(), set()).add(k)
-    return {s for s, ks in where.items() if len(ks) >= several}
+def stock_sentences(items: DataFrame, several: int) -> set[bytes]:
+    """Sentences (as folded codes) of ``items`` (item_id, text) that stand in at least ``several`` different items."""
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, c.tobytes()) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x, y in _sentences(text) if len(c := codes_of(text[x:y]))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["item_id", "codes"])
+
+    rows = items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(sentences, "item_id bigint, codes binary")
+    stock = rows.groupBy("codes").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") >= several)
+    return {bytes(x[0]) for x in stock.select("codes").toLocalIterator()}
 
 
 def _sentences(text: str) -> list[tuple[int, int]]:
@@ -108,7 +111,8 @@ class _Index:
         # Windows over a break hash what isn't text.
         broken = np.concatenate([_windows_with_break(c) for c in codes] + [np.zeros(0, bool)])
         before = np.concatenate([np.cumsum(c == _END)[: len(h)] for c, h in zip(codes, hashes)] + [np.zeros(0, int)])
-        self.piece = self.item * 4096 + np.minimum(before, 4095)
+        pieces = np.array([np.count_nonzero(c == _END) + 1 for c in codes], np.int64)
+        self.piece = (np.cumsum(pieces) - pieces)[self.item] + before  # a number for each piece of each item
         order = np.argsort(self.hash[~broken], kind="stable")
         self.hash, self.item, self.pos, self.piece = (x[~broken][order] for x in (self.hash, self.item, self.pos, self.piece))
 
@@ -126,9 +130,10 @@ class _Index:
             entry = np.repeat(left[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             pos = np.repeat(hit, counts) + at
             # One look a diagonal and unbroken piece of an item shows all its runs.
-            item, diagonal = self.piece[entry], pos - self.pos[entry]
-            _, first = np.unique(item.astype(np.int64) * (1 << 40) + diagonal + (1 << 39), return_index=True)
-            for k in first:
+            piece, diagonal = self.piece[entry], pos - self.pos[entry]
+            order = np.lexsort((diagonal, piece))
+            new = np.concatenate(([True], (np.diff(piece[order]) != 0) | (np.diff(diagonal[order]) != 0)))
+            for k in order[new]:
                 i = int(self.item[entry[k]])
                 got = _run(codes, self.codes[i], int(pos[k]), int(self.pos[entry[k]]))
                 old = found.get(i, (0, 0))
@@ -151,8 +156,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, several: int = 3, block
     longest that tolerates substitutions.
 
     Items are collected in blocks of at most ``block_chars`` characters (one longer item
-    is a block by itself); stock sentences are counted over all items first, those of one
-    hash in one block.
+    is a block by itself); stock sentences are counted over all items first, by distinct
+    item_id, in the same way for any number of blocks.
 
     Defined results: null and empty texts meet nothing; items shorter than the mask's span
     meet nothing; repeated documents and items each count; null ids are left out; empty
@@ -163,10 +168,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, several: int = 3, block
     rows = items.where("item_id is not null and text is not null").select("item_id", "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    stock: set[bytes] = set()
-    for k in range(blocks):  # sentences of one hash meet in one block
-        part = rows if blocks == 1 else _with_sentences_of(rows, k, blocks)
-        stock |= stock_sentences([(r[0], r[1]) for r in part.toLocalIterator()], several)
+    stock = stock_sentences(rows, several)
     out = spark.createDataFrame([], schema)
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text")
     for k in range(blocks):
@@ -188,15 +190,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, several: int = 3, block
     return out.join(F.broadcast(about) if chars <= block_chars else about, "item_id").select("doc_id", "item_id", "lang", "item_set", "run", "overlap")
 
 
-def _with_sentences_of(rows: DataFrame, k: int, blocks: int) -> DataFrame:
-    """The items' sentences whose folded hash falls into block k, one row per item and sentence."""
-    sentence = F.explode(F.regexp_extract_all("text", F.lit(r"([^。！？!?\n]+?(?:[。！？!?\n]+|\.(?=\s|$)|$))"), F.lit(1)))
-    cut = rows.select("item_id", sentence.alias("text"))
-    folded = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))
-    several = cut.groupBy(folded.alias("f")).agg(F.count_distinct("item_id").alias("n")).where("n > 1")
-    return cut.withColumn("f", folded).join(several, "f", "left_semi").where(F.pmod(F.xxhash64("f"), F.lit(blocks)) == k).select("item_id", "text")
-
-
 MIN_RUN, MIN_RUN_EN = 30, 60
 
 
