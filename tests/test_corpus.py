@@ -159,6 +159,19 @@ def test_fewshot_of_a_post_with_many_rows(spark):
     assert got == {1: [100, 200, 101, 102, 103, 104, 105, 200], 2: [0, 40, 1, 2, 3, 4, 5, 6]}
 
 
+def test_dense_blocks_are_bounded(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    v = {i: [rng.uniform(-1, 1) for _ in range(8)] for i in range(200)}
+    e = spark.createDataFrame(list(v.items()), "id long, v array<float>").cache()
+    sizes, real = [], retrieve.F.broadcast
+    monkeypatch.setattr(retrieve.F, "broadcast", lambda df: (sizes.append(df.count()), real(df))[1])
+    got = [sorted(map(tuple, retrieve.dense_topk(e, e.where("id % 2 = 0"), "id", "v", **x).collect())) for x in ({"block_bytes": 128 * 20}, {})]
+    assert got[0] == got[1] and len(got[0]) == 500
+    assert sizes[-1] == 100 and len(sizes) == 6 and sum(sizes[:-1]) == 100 and max(sizes[:-1]) <= 40
+
+
 def test_cleaning_and_dates(spark):
     df = spark.createDataFrame([("ｔ&amp;t", "a​b\r\n\n\n\nhttps://x.y/z  c", "3天前"), (None, "", "05-20"), (None, None, "2023年1月2日")], "t string, b string, d string")
     rows = df.select(clean.clean_text(F.col("t"), F.col("b")).alias("c"), clean.recover_date(F.col("d"), F.to_date(F.lit("2024-03-01"))).alias("d")).collect()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions.text import words
+from threadmill.session import cut
 
 
 def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,18 +48,33 @@ def lexical_topk(queries: DataFrame, gold: DataFrame, k: int = 5, same_language:
     return scored.selectExpr("qid", "gid", "score", "row_number() over (partition by qid order by score desc, l desc, c desc, gid) as rank").where(F.col("rank") <= k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, digits: int = 6) -> DataFrame:
+#: Bytes of query vectors in one broadcast block of dense_topk.
+BLOCK_BYTES = 64 << 20
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, digits: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(qid, id, score, rank): the k vectors of largest dot product for each query vector.
 
-    ``queries`` is a stated set: it is broadcast in blocks against all vectors, and each
-    task keeps its own k best of a query before the shuffle (a row-number limit is pushed
-    below it). Scores are rounded, ties go to the smaller id.
+    ``queries`` are hashed by key into blocks of about ``block_bytes``; each block is
+    broadcast against all vectors, and each task keeps its own k best of a query before the
+    shuffle (a row-number limit is pushed below it). Of several blocks each is finished
+    before the next is broadcast, so one is held at a time. Scores are rounded, ties go to
+    the smaller id.
     """
     q = queries.select(F.col(key).alias("qid"), F.col(vector).alias("__q"))
     dot = F.aggregate(F.zip_with(F.col(vector), F.col("__q"), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.select(F.col(key).alias("id"), vector).join(F.broadcast(q), F.col("id") != F.col("qid"))
-    scored = pairs.select("qid", "id", F.round(dot, digits).alias("score"))
-    return scored.selectExpr("qid", "id", "score", "row_number() over (partition by qid order by score desc, id) as rank").where(F.col("rank") <= k)
+    # An array element takes 8 bytes at most, a row about 64 besides.
+    size = q.agg(F.sum(F.coalesce(F.size("__q"), F.lit(0)) * F.lit(8) + F.lit(64))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def nearest(q: DataFrame) -> DataFrame:
+        pairs = vectors.select(F.col(key).alias("id"), vector).join(F.broadcast(q), F.col("id") != F.col("qid"))
+        scored = pairs.select("qid", "id", F.round(dot, digits).alias("score"))
+        return scored.selectExpr("qid", "id", "score", "row_number() over (partition by qid order by score desc, id) as rank").where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return nearest(q)
+    return reduce(DataFrame.union, [cut(nearest(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))) for b in range(blocks)])
 
 
 def fewshot_pick(queries: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
