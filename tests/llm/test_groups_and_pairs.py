@@ -3,7 +3,7 @@ import random
 import pytest
 
 from threadmill.llm.crosssplit import cross_split_pairs, overlap_report, shared_wording
-from threadmill.llm.groupsplit import record_keys, related_records, split_records, star_components
+from threadmill.llm.groupsplit import assign_components, record_keys, related_records, split_records, star_components
 
 A, B, C = "a" * 24, "b" * 24, "c" * 24
 
@@ -134,3 +134,13 @@ def test_pairs_at_three_quarters_all_meet(spark):
     want = {(2 * k, 2 * k + 1) for k in range(240) if shared_wording(posts[2 * k][4], posts[2 * k + 1][4]) >= 0.7}
     assert len(want) > 200
     assert want <= {tuple(r) for r in cross_split_pairs(m, p).collect()}
+
+
+def test_rare_labels_are_balanced(spark):
+    # 64 labels of 12 rows and six of 10 rows beyond them; each row is a component of its own.
+    rows = [(f"g{k}", f"often{k % 64}") for k in range(64 * 12)] + [(f"r{r}-{k}", f"rare{r}") for r in range(6) for k in range(10)]
+    g = spark.createDataFrame(rows, "group_key string, label string")
+    at = {r["group_key"]: r["split"] for r in assign_components(g, {"train": 0.5, "test": 0.5}).collect()}
+    assert len(at) == len(rows)
+    off = [abs(sum(at[f"r{r}-{k}"] == "train" for k in range(10)) - 5) for r in range(6)]
+    assert sum(off) <= 3

@@ -148,7 +148,9 @@ def anneal(sizes: np.ndarray, target: np.ndarray, seed: int, moves: int) -> tupl
 
 
 _BLOCK = 20_000
+#: The most frequent labels count each by itself, all others in so many hashed buckets.
 _MAX_LABELS = 64
+_LABEL_BUCKETS = 64
 
 
 def assign_components(groups: DataFrame, shares: Mapping[str, float], seed: int = 7, replicas: int = 4, moves: int = 20_000) -> DataFrame:
@@ -158,13 +160,22 @@ def assign_components(groups: DataFrame, shares: Mapping[str, float], seed: int
     hundredth of the rows are at most a hundred; the driver anneals these first. The
     others are hashed into blocks of about 20,000, each annealed by itself towards what
     the large ones leave, in ``replicas`` copies of ``moves`` steps.
+
+    The 64 most frequent labels are balanced each by itself; the others are hashed into 64
+    buckets, and what is balanced of these is the rows of each bucket.
     """
     total = groups.count()
-    labels = [r[0] for r in groups.groupBy(F.coalesce("label", F.lit("")).alias("label")).count().orderBy(F.desc("count"), "label").limit(_MAX_LABELS).collect()]
-    counts = [F.sum((F.coalesce("label", F.lit("")) == x).cast("int")).cast("double") for x in labels]
+    label = F.coalesce("label", F.lit(""))
+    labels = [r[0] for r in groups.groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label").limit(_MAX_LABELS + 1).collect()]
+    rarer, labels = len(labels) > _MAX_LABELS, labels[:_MAX_LABELS]
+    columns = [label == x for x in labels]
+    if rarer:
+        bucket = F.when(~label.isin(labels), F.pmod(F.xxhash64(label), F.lit(_LABEL_BUCKETS)))
+        columns += [F.coalesce(bucket == b, F.lit(False)) for b in range(_LABEL_BUCKETS)]
+    counts = [F.sum(c.cast("int")).cast("double") for c in columns]
     parts = cut(groups.groupBy("group_key").agg(F.array(F.count("*").cast("double"), *counts).alias("v")))
     names, share = list(shares), np.array(list(shares.values()), float)[:, None]
-    whole = np.array(parts.agg(F.array(*[F.sum(F.col("v")[i]) for i in range(len(labels) + 1)])).first()[0] or [0.0] * (len(labels) + 1), float)
+    whole = np.array(parts.agg(F.array(*[F.sum(F.col("v")[i]) for i in range(len(counts) + 1)])).first()[0] or [0.0] * (len(counts) + 1), float)
     whole = np.nan_to_num(np.array([x or 0.0 for x in whole]))
     big = parts.where(F.col("v")[0] > max(total / 100, 1)).toPandas()  # at most 100 rows
     left = share * whole[None, :]
