@@ -1,11 +1,13 @@
 """Duplicates hidden by formatting: records equal but for spacing, case, punctuation or order.
 
-Text streams through one lookup table, indexed by code point, that skips all but letters
-and digits and folds case; the values that remain feed two polynomial hashes modulo 2^64.
-No canonical string is made. A field that consists of "label: value" lines is the sum of
-the mixed hashes of its lines, so their order doesn't matter; a record is the unordered
-pair of its two fields, so they may be exchanged. Rows of one hash are then compared with
-their group's representative by two pointers that skip what doesn't count.
+Text streams piece by piece through one lookup table, indexed by code point, that skips
+all but letters and digits and folds case; the values that remain feed two polynomial
+hashes modulo 2^64, which roll on from piece to piece. No canonical string is made: what
+is held at a time is one piece of bounded size. A field that consists of "label: value"
+lines is the sum of the mixed hashes of its lines, so their order doesn't matter; a record
+is the unordered pair of its two fields, so they may be exchanged. Rows of one hash are
+then compared with their group's representative by two pointers that skip what doesn't
+count, each moving through its text in pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.functions.joins import hot_groups, lookup
 from threadmill.session import cut
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers never vanish
@@ -46,29 +49,62 @@ def fold_table() -> np.ndarray:
     return t
 
 
+#: Characters of text in one piece.
+_PIECE = 1 << 16
+
+
 @lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
+def _powers(base: int) -> np.ndarray:
+    p = np.full(_PIECE, base, np.uint64)
     p[0] = 1
     return np.cumprod(p, dtype=np.uint64)
 
 
+def folded(text: str, start: int = 0, end: int | None = None) -> np.ndarray:
+    """What counts of a stretch of text, as folded code points."""
+    codes = fold_table()[np.frombuffer(text[start:end].encode("utf-32-le", "surrogatepass"), "<u4")]
+    return codes[codes != 0]
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first text, pieces of consecutive texts): _PIECE characters at most."""
+    first, part, size = 0, [], 0
+    for k, s in enumerate(texts):
+        if part and size + len(s) > _PIECE:
+            yield first, part
+            part, size = [], 0
+        if len(s) > _PIECE:
+            for at in range(0, len(s), _PIECE):
+                yield k, [s[at : at + _PIECE]]
+            continue
+        if not part:
+            first = k
+        part.append(s)
+        size += len(s)
+    if part:
+        yield first, part
+
+
 def poly_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes and the number of characters that count, for each text."""
-    sizes = np.fromiter((len(s) for s in texts), np.int64, len(texts))
-    codes = fold_table()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    kept = np.concatenate(([0], np.cumsum(codes != 0)))[ends]  # kept characters before each text
-    codes = codes[codes != 0]
-    counts = np.diff(kept)
-    place = np.arange(len(codes)) - np.repeat(kept[:-1], counts)
-    values = _mix(codes)
-    longest = 1 << int(max(1, counts.max(initial=1)) - 1).bit_length()
-    out = []
-    for base in _BASES:
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(base, longest)[place], dtype=np.uint64)))
-        out.append(_mix(total[kept[1:]] - total[kept[:-1]] + counts.astype(np.uint64)))
-    return out[0], out[1], counts
+    out = [np.zeros(len(texts), np.uint64) for _ in _BASES]
+    counts = np.zeros(len(texts), np.int64)
+    for first, part in _pieces(texts):
+        codes = fold_table()[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4")]
+        ends = np.cumsum([len(s) for s in part])
+        kept = np.concatenate(([0], np.cumsum(codes != 0)))[np.concatenate(([0], ends))]  # kept characters before each text
+        values = _mix(codes[codes != 0])
+        new = np.diff(kept)
+        place = np.arange(len(values)) - np.repeat(kept[:-1], new)
+        at = slice(first, first + len(part))
+        for base, total in zip(_BASES, out):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(base)[place], dtype=np.uint64)))
+            # Only a text longer than a piece has characters before this one.
+            before = np.uint64(pow(base, int(counts[first]), 1 << 64)) if len(part) == 1 else np.uint64(1)
+            total[at] += (sums[kept[1:]] - sums[kept[:-1]]) * before
+        counts[at] += new
+    h1, h2 = (_mix(h + counts.astype(np.uint64)) for h in out)
+    return h1, h2, counts
 
 
 def _lines(s: str) -> list[str] | None:
@@ -94,22 +130,22 @@ def field_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def same_skipping(x: str, y: str) -> bool:
-    """Whether two texts agree in all characters that count: two pointers, no copies."""
+    """Whether two texts agree in all characters that count: two pointers, a piece at a time."""
     if x == y:
         return True
-    t = fold_table()
-    i, j, n, m = 0, 0, len(x), len(y)
+    i = j = 0
+    a = b = np.zeros(0, np.uint32)
     while True:
-        while i < n and not t[ord(x[i])]:
-            i += 1
-        while j < m and not t[ord(y[j])]:
-            j += 1
-        if i == n or j == m:
-            return i == n and j == m
-        if x[i] != y[j] and t[ord(x[i])] != t[ord(y[j])]:
+        while not len(a) and i < len(x):
+            a, i = folded(x, i, i + _PIECE), i + _PIECE
+        while not len(b) and j < len(y):
+            b, j = folded(y, j, j + _PIECE), j + _PIECE
+        n = min(len(a), len(b))
+        if not n:
+            return len(a) == len(b)
+        if (a[:n] != b[:n]).any():
             return False
-        i += 1
-        j += 1
+        a, b = a[n:], b[n:]
 
 
 def same_field(x: str, y: str) -> bool:
@@ -129,9 +165,16 @@ def same_record(t1: str, c1: str, t2: str, c2: str) -> bool:
 
 
 def _digest(t: str, c: str) -> str:
-    """An exact key for the rows of a hash collision only."""
-    canon = lambda s: "\n".join(sorted("".join(ch.lower()[0] for ch in x if ch.isalnum()) for x in _lines(s) or [s]))
-    return hashlib.sha256("\0".join(sorted((canon(t), canon(c)))).encode("utf-8", "surrogatepass")).hexdigest()
+    """An exact key for the rows of a hash collision only, from the same stream of pieces."""
+
+    def stream(s: str) -> bytes:
+        h = hashlib.sha256()
+        for at in range(0, len(s), _PIECE):
+            h.update(folded(s, at, at + _PIECE).tobytes())
+        return h.digest()
+
+    field = lambda s: hashlib.sha256(b"".join(sorted(map(stream, _lines(s) or [s])))).digest()
+    return hashlib.sha256(b"".join(sorted((field(t), field(c))))).hexdigest()
 
 
 def record_hashes(df: DataFrame, key: str, title: str, content: str) -> DataFrame:
@@ -153,43 +196,29 @@ def record_hashes(df: DataFrame, key: str, title: str, content: str) -> DataFram
     return df.select(F.col(key).cast("bigint"), title, content).mapInArrow(hashes, "id bigint, h1 bigint, h2 bigint")
 
 
-_SALTS = 8
-_PER_SALT = 20_000
-
-
 def duplicate_members(df: DataFrame, key: str, title: str, content: str) -> DataFrame:
     """(rep, id) for each row that repeats the record of a smaller id; verified.
 
     Groups are pre-aggregated to (smallest id, size) map-side; only groups of two or more
-    go on. Rows meet their group's one row under a salt, and their representative's text
-    under as many salts as the group's size asks for, so a group that holds a third of all
-    rows is spread over many tasks. Texts are moved for rows of such groups only.
+    go on. Rows meet their group's one row, and their representative's text, under as many
+    salts as the group's size asks for, so a group that holds a third of all rows is spread
+    over many tasks. Texts are moved for rows of such groups only.
 
     Defined results: null and '' fields are equal; rows whose content has no letter or
     digit are left out; rows without id can't be named and are left out; an id that occurs
     on several rows is paired once; empty tables give an empty result; columns other than
     the three aren't read, so names may clash.
     """
-    hashes = record_hashes(df, key, title, content).where("id is not null")
-    groups = hashes.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    members = (
-        hashes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
-        .join(salted, ["h1", "h2", "salt"])
-        .select("id", "rep", (F.floor(F.col("n") / _PER_SALT) + 1).cast("int").alias("salts"))
-        .where("id <> rep")
-        .distinct()
-    )
-    members = cut(members)
+    return _members(df, key, title, content, cut(record_hashes(df, key, title, content).where("id is not null")))
+
+
+def _members(df: DataFrame, key: str, title: str, content: str, hashes: DataFrame) -> DataFrame:
+    groups = cut(hashes.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    met = lookup(hashes, groups.select("h1", F.col("h2").alias("g2"), "rep"), "h1", ["id"], "inner", hot_groups(groups, "h1", "n")).where("h2 = g2 and id <> rep")
+    members = cut(met.select("id", "rep").distinct())
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(title, F.lit("")).alias("t"), F.coalesce(content, F.lit("")).alias("c"))
-    reps = members.select(F.col("rep").alias("id"), "salts").distinct()
-    rep_texts = (
-        texts.join(reps, "id")
-        .groupBy("id")
-        .agg(F.min(F.struct("t", "c")).alias("__x"), F.max("salts").alias("salts"))
-        .select(F.col("id").alias("rep"), F.col("__x.t").alias("t2"), F.col("__x.c").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    )
-    rows = texts.join(members, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    rep_texts = texts.join(groups.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min(F.struct("t", "c")).alias("__x")).select(F.col("id").alias("rep"), F.col("__x.t").alias("t2"), F.col("__x.c").alias("c2"))
+    rows = lookup(texts.join(members, "id"), rep_texts, "rep", ["id"], "inner", hot_groups(groups, "rep", "n"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +226,7 @@ def duplicate_members(df: DataFrame, key: str, title: str, content: str) -> Data
             other = [None if same_record(*x) else _digest(x[0], x[1]) for x in zip(t1, c1, t2, c2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(other, pa.string())], names=["rep", "id", "other"])
 
-    checked = cut(rows.join(rep_texts, ["rep", "salt"]).select("rep", "id", "t", "c", "t2", "c2").mapInArrow(compare, "rep bigint, id bigint, other string"))
+    checked = cut(rows.select("rep", "id", "t", "c", "t2", "c2").mapInArrow(compare, "rep bigint, id bigint, other string"))
     equal = checked.where("other is null").select("rep", "id").distinct()
     # Rows whose hash collided form groups of their own, by an exact digest.
     apart = checked.where("other is not null")
@@ -211,7 +240,8 @@ def collapse(df: DataFrame, key: str, title: str, content: str) -> DataFrame:
 
     Rows whose content has no letter or digit are left out, as in duplicate_members.
     """
-    members = duplicate_members(df, key, title, content)
-    every = record_hashes(df, key, title, content).where("id is not null").select("id").distinct()
+    hashes = cut(record_hashes(df, key, title, content).where("id is not null"))
+    members = _members(df, key, title, content, hashes)
+    every = hashes.select("id").distinct()
     counts = members.groupBy("rep").agg(F.count("*").alias("n"))
     return every.join(members.select("id"), "id", "left_anti").join(counts, F.col("id") == F.col("rep"), "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"))
