@@ -12,10 +12,12 @@ take disjoint runs of each source's permuted blocks and shuffle their documents
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,37 +42,44 @@ def _encoding(path: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of every document; 0 for null and empty texts.
 
-    ``tokenizer`` is a rank file that every worker can read.
+    ``tokenizer`` is a rank file the driver can read; it travels to the workers with the job.
     """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            enc = _encoding(tokenizer)
+            enc = _encoding(SparkFiles.get(name))
             n = [len(enc.encode_ordinary(s)) if s else 0 for s in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "source", "text").mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) block counts: exact quotas, split by multivariate-hypergeometric draws."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((shards, len(quotas)), np.int64)
+def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, shard, count) of the counts above 0: exact quotas, split by multivariate-hypergeometric draws.
 
-    def split(have: np.ndarray, first: int, last: int) -> None:
+    A node of the tree only knows the sources that reach it, so the work and the result
+    grow with the blocks drawn and not with sources x shards.
+    """
+    rng = np.random.default_rng(seed)
+    out: list[tuple[np.ndarray, int, np.ndarray]] = []
+    open_ = [(np.flatnonzero(quotas), quotas[np.flatnonzero(quotas)].astype(np.int64), 0, shards)]
+    while open_:
+        who, have, first, last = open_.pop()
+        if not len(who):
+            continue
         if last - first == 1:
-            out[first] = have
-            return
+            out.append((who, first, have))
+            continue
         middle = (first + last) // 2
-        total = int(have.sum())
         # Shards are filled as evenly as whole blocks allow.
-        goes = total * (middle - first) // (last - first)
-        left = rng.multivariate_hypergeometric(have, goes, method="marginals") if total else have
-        split(left, first, middle)
-        split(have - left, middle, last)
-
-    split(quotas.astype(np.int64), 0, shards)
-    return out
+        goes = int(have.sum()) * (middle - first) // (last - first)
+        left = rng.multivariate_hypergeometric(have, goes, method="marginals")
+        for part, x, y in ((have - left, middle, last), (left, first, middle)):
+            open_.append((who[part > 0], part[part > 0], x, y))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate([empty, *x]) for x in ([w for w, _, _ in out], [np.full(len(w), k) for w, k, _ in out], [c for _, _, c in out]))
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int | None = None, block_tokens: int = 50_000, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -81,11 +90,13 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     times its own tokens; what it lacks is not given to others, so the report shows it.
 
     Without ``shards`` there is one for every 200 million tokens, 16 at least. Blocks have
-    ``block_tokens`` tokens or a millionth of the corpus, whichever is more.
+    ``block_tokens`` tokens or a millionth of the corpus and of the total, whichever is more.
 
-    The block table (one row per source and block, a million rows at most and one more a source) is the only thing that meets a window
-    over a source; documents are windowed within their block. The driver sees one row per
-    source and computes sources x shards counts.
+    The block table (one row per source and block, a million rows at most and one more a
+    source) is the only thing that meets a window over a source; documents are windowed
+    within their block. The driver sees one row per source and computes the runs of block
+    draws of every shard, of which there are no more than draws; blocks meet their shard by
+    the number of the draw.
 
     Defined results: documents of a source without target, of null source, null id or
     without tokens are not used; a target without documents gives nothing; several target
@@ -99,7 +110,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     whole = sized.agg(F.sum("n_tokens")).first()[0] or 0
     total = total_tokens if total_tokens is not None else whole
     shards = shards or max(16, -(-total // 200_000_000))
-    block_tokens = max(block_tokens, whole // 1_000_000)
+    block_tokens = max(block_tokens, whole // 1_000_000, int(total) // 1_000_000)
     have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).join(goals, "source").select("source", "t").collect()}
     wanted = {r["source"]: (r["g"]["target_share"], r["g"]["max_repeats"]) for r in goals.collect()}
     plan = []
@@ -120,10 +131,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     order = cut(order)
     quotas = {r["source"]: r["n"] for r in order.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sorted(quotas)
-    counts = splitting_tree(np.array([quotas[s] for s in names], np.int64), shards, seed) if names else np.zeros((shards, 0), np.int64)
-    start = np.concatenate((np.zeros((1, len(names)), np.int64), np.cumsum(counts, 0)))
-    runs = [(s, k, int(start[k, i]), int(start[k + 1, i])) for i, s in enumerate(names) for k in range(shards) if counts[k, i]]
-    assigned = order.join(F.broadcast(spark.createDataFrame(runs, "rs string, shard int, lo bigint, hi bigint")), (F.col("source") == F.col("rs")) & (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi")))
+    who, shard, count = splitting_tree(np.array([quotas[s] for s in names], np.int64), shards, seed)
+    by_source = np.lexsort((shard, who))
+    who, shard, count = who[by_source], shard[by_source], count[by_source]
+    first = np.cumsum(count) - count
+    if len(who):
+        first -= np.repeat(first[np.flatnonzero(np.diff(who, prepend=-1))], np.unique(who, return_counts=True)[1])
+    runs = spark.createDataFrame(pa.table({"source": pa.array([names[k] for k in who], pa.string()), "shard": pa.array(shard, pa.int32()), "first": pa.array(first, pa.int64()), "count": pa.array(count, pa.int64())}))
+    drawn = runs.select("source", "shard", F.explode(F.expr("sequence(first, first + count - 1)")).alias("draw"))
+    assigned = order.join(drawn, ["source", "draw"])
     assigned = assigned.select("source", "block", "copy", "shard", (F.col("copy") == F.col("passes")).alias("partial"), (F.col("rest") - F.col("before")).alias("room"))
     members = placed.select("source", "block", "doc_id", "n_tokens").selectExpr("*", f"sum(n_tokens) over (partition by source, block order by xxhash64(doc_id, {seed + 2}), doc_id rows unbounded preceding) as upto")
     chosen = members.join(assigned, ["source", "block"]).where("not partial or upto - n_tokens < room")
@@ -149,3 +165,15 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         .join(F.broadcast(every), how="cross")
         .select("source", "target_share", F.round(F.coalesce(F.col("t") / F.col("all"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("t", F.lit(0)).alias("n_tokens"), F.coalesce("d", F.lit(0)).alias("n_documents"), F.coalesce("u", F.lit(0)).alias("most_uses"))
     )
+
+
+def mix_limits(mixed: DataFrame, documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(source, has_documents, within_repeats, share_met) of every target: whether a default mix keeps its limits."""
+    have = token_counts(documents.where("doc_id is not null and source is not null"), tokenizer).where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("have"), F.max("n_tokens").alias("longest"))
+    goals = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most"))
+    both = cut(goals.join(have, "source", "left"))
+    used = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("t")).groupBy("source").agg(F.sum("t").alias("t"), F.max("uses").alias("uses"))
+    total = both.where("share > 0 and most > 0").agg(F.sum("have").alias("total"))
+    limits = both.join(F.broadcast(total), how="cross").join(used, "source", "left")
+    met = F.expr("abs(coalesce(t, 0) - least(share * total, coalesce(have, 0) * most)) <= coalesce(longest, 0)")
+    return limits.select("source", F.col("have").isNotNull().alias("has_documents"), F.expr("coalesce(uses, 0) <= most").alias("within_repeats"), met.alias("share_met"))
