@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from threadmill.llm.crosssplit import cross_split_pairs, overlap_report, shared_wording
-from threadmill.llm.groupsplit import assign_components, record_keys, related_records, split_records, star_components
+from threadmill.llm.groupsplit import _cost, anneal, assign_components, hashed_start, record_keys, related_records, split_records, star_components
 
 A, B, C = "a" * 24, "b" * 24, "c" * 24
 
@@ -144,3 +145,44 @@ def test_rare_labels_are_balanced(spark):
     assert len(at) == len(rows)
     off = [abs(sum(at[f"r{r}-{k}"] == "train" for k in range(10)) - 5) for r in range(6)]
     assert sum(off) <= 3
+
+
+def test_splits_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(15)
+    notes = [(i, f"{rng.randrange(300):024x}", f"m{rng.randrange(2000)}", None, None) for i in range(1500)]
+    shares = {"train": 0.6, "validation": 0.2, "test": 0.2}
+    k = keys(spark, notes)
+    one = {(r[0], r[1]): r[2] for r in split_records(k, shares).collect()}
+    two = {(r[0], r[1]): r[2] for r in split_records(keys(spark, rng.sample(notes, len(notes))).repartition(7, "row_id"), shares).collect()}
+    assert one == two
+
+
+def test_proportions_and_labels_are_met(spark):
+    rng = random.Random(16)
+    rows = [(f"g{rng.randrange(1200)}", rng.choice("abbccc")) for _ in range(6000)]
+    g = spark.createDataFrame(rows, "group_key string, label string")
+    shares = {"train": 0.7, "validation": 0.2, "test": 0.1}
+    got = {r["group_key"]: r for r in assign_components(g, shares).collect()}
+    assert sum(r["n_rows"] for r in got.values()) == len(rows)
+    for label in "abc":
+        of = [got[k]["split"] for k, x in rows if x == label]
+        assert all(abs(of.count(s) / len(of) - share) < 0.01 for s, share in shares.items())
+
+
+def test_the_search_improves_on_the_hashed_start():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 9, (500, 3)).astype(float)
+    target = np.array([[0.8], [0.2]]) * sizes.sum(0)[None, :]
+    place = rng.random(500)
+    start = np.zeros_like(target)
+    np.add.at(start, hashed_start(place, target), sizes)
+    assert anneal(sizes, target, place, 1, 4000)[1] < _cost(start, target) / 20
+
+
+def test_a_hot_author_is_spread(spark, monkeypatch):
+    monkeypatch.setattr("threadmill.functions.joins.PER_SALT", 50)
+    notes = [(i, A if i % 3 == 0 else f"{i:024x}", f"m{i % 40 if i % 5 == 0 else i}", None, None) for i in range(900)]
+    k = keys(spark, notes)
+    want = {tuple(r) for r in related_records(k).collect()}
+    monkeypatch.undo()
+    assert want and want == {tuple(r) for r in related_records(k).collect()}

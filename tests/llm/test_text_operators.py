@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from threadmill.llm.leakage import _Index, codes_of, leaked_items, leaks
+from threadmill.llm.leakage import _Index, _run, codes_of, leaked_items, leaks, overlaps
 from threadmill.llm.mixing import mix, mix_shares, splitting_tree, token_counts
 from threadmill.llm.readlevel import MAX_BROADCAST_WORDS, coverage, hard_documents, reading_levels
 from threadmill.llm.truncation import truncated, truncation_rates
@@ -15,15 +15,15 @@ def words(rng, n, pool="牙疼痛医生看了左上第二颗磨突然像针扎
     return "".join(rng.choice(pool) for _ in range(n))
 
 
-@pytest.mark.parametrize("block_chars", [4_000_000, 100])
-def test_stock_counts_items_not_rows(spark, block_chars):
+@pytest.mark.parametrize("broadcast_chars", [4_000_000, 100])
+def test_stock_counts_items_not_rows(spark, broadcast_chars):
     # One sentence twice in an item (or in two rows of it) and once in another isn't stock.
     rng = random.Random(8)
     twice, rows, three = (words(rng, 40) + "。" for _ in range(3))
     items = [(1, twice + three + twice), (2, twice), (3, rows + three), (3, rows), (4, rows + three)]
     i = spark.createDataFrame([(k, "test", "zh", t) for k, t in items], "item_id long, item_set string, lang string, text string")
     d = spark.createDataFrame([(k, t) for k, t in enumerate((twice, rows, three))], "doc_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, i, block_chars=block_chars).collect()} == {(0, 1), (0, 2), (1, 3), (1, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(d, i, broadcast_chars=broadcast_chars).collect()} == {(0, 1), (0, 2), (1, 3), (1, 4)}
 
 
 def test_items_far_apart_on_one_diagonal():
@@ -54,8 +54,8 @@ def test_leaks_against_brute_force(spark):
                 if any(q[x : x + n] in norm(s) for x in range(len(q) - n + 1)):
                     want.add((doc, item))
     assert {tuple(r) for r in leaks(d, i).collect()} == want
-    # Items read in several blocks give the same.
-    again = leaked_items(d, i, block_chars=300)
+    # Items that are joined give the same.
+    again = leaked_items(d, i, broadcast_chars=0)
     assert {(r["doc_id"], r["item_id"]) for r in again.collect() if r["run"] >= (60 if r["lang"] == "en" else 30)} == want
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
 
@@ -72,6 +72,33 @@ def test_substitutions_are_tolerated(spark):
     assert r["run"] == 30 and r["overlap"] > 100
 
 
+def test_overlaps_with_substitutions_against_brute_force(spark):
+    # Stretches of 40 to 120 letters of an item with every letter substituted with a chance of up to 12 %.
+    rng = random.Random(21)
+    items = [(k, "test", "zh", words(rng, 200)) for k in range(20)]
+    docs, want, got_by = [], set(), {}
+    for k in range(400):
+        a, n, rate = rng.randrange(80), rng.randrange(40, 120), rng.random() * 0.12
+        piece = "".join(rng.choice("XYZ") if rng.random() < rate else c for c in items[k % 20][3][a : a + n])
+        docs.append((k, words(rng, 30) + piece + words(rng, 30)))
+        x, y = codes_of(docs[-1][1]), codes_of(items[k % 20][3])
+        best = max(_run(x, y, max(d, 0), max(-d, 0))[1] for d in range(-len(y) + 1, len(x)))
+        if best >= 30:
+            want.add((k, k % 20))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, item_set string, lang string, text string")
+    got_by = {(r["doc_id"], r["item_id"]) for r in overlaps(d, i).collect()}
+    assert len(want) > 250 and len(want & got_by) >= 0.9 * len(want)
+
+
+def test_repeated_letters_stay_cheap(spark):
+    d = spark.createDataFrame([(1, "a" * 200_000 + "b"), (2, "ab" * 100_000), (3, "x" + "abc" * 12)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "t", "zh", "a" * 5000), (2, "t", "zh", "ab" * 3000), (3, "t", "zh", "y" + "abc" * 2000)], "item_id long, item_set string, lang string, text string")
+    want = {(1, 1): 5000, (2, 2): 6000, (3, 3): 36}
+    for chars in (10**6, 0):
+        assert {(r["doc_id"], r["item_id"]): r["run"] for r in leaked_items(d, i, broadcast_chars=chars).where("run >= 30").collect()} == want
+
+
 def test_truncation(spark):
     rng = random.Random(6)
     parts = ["医生说门牙要先拍了片子，过{}天再去。", "昨天冰敷之后好多了，今天又开始疼。", "去校医院看了一下，花了{}块，有点害怕。", "My dentist wants to start with icing the cheek, then see me in {} days."]
@@ -80,11 +107,16 @@ def test_truncation(spark):
     cuts = {1000: "医生说门牙要先拍了片", 1001: line() + "去校医院看了一下，花了3", 1002: line() + "昨天冰敷之后…展开", 1003: line() + "今天又�", 1004: line() + "My dentist wants to sta", 1005: line() + "医生说门牙要…"}
     rows += [(k, s, None, "http://b.example") for k, s in cuts.items()]
     rows += [(2000, None, None, None), (2001, " ", "", ""), (None, "一", None, None)]
+    # However much white space follows, the end is seen.
+    blanks = "。" + " " * 70
+    rows += [(3000, "今天又开始疼" + blanks, None, None)]
+    cuts[1006] = line() + "昨天冰敷之后see more…展开" + " " * 90
+    rows += [(1006, cuts[1006], None, "http://b.example")]
     df = spark.createDataFrame(rows, "id long, content string, title string, source_url string")
     got = {tuple(r) for r in truncated(df, "id", ["title", "content"]).collect()}
     assert got == {(k, "content") for k in cuts}
     rates = {(r["site"], r["field"]): (r["n_values"], r["n_cut"]) for r in truncation_rates(df, "id", ["title", "content"], "source_url").collect()}
-    assert rates["b.example", "content"] == (6, 6) and rates["a.example", "content"] == (600, 0)
+    assert rates["b.example", "content"] == (7, 7) and rates["a.example", "content"] == (600, 0)
     assert truncated(df.limit(0), "id", ["content"]).count() == 0
 
 
@@ -152,5 +184,8 @@ def test_mixing(spark):
 
 def test_splitting_tree_is_exact():
     q = np.array([7, 0, 100, 33])
-    got = splitting_tree(q, 6, 1)
+    who, shard, count = splitting_tree(q, 6, 1)
+    got = np.zeros((6, 4), int)
+    got[shard, who] = count
+    assert (count > 0).all() and len(count) == np.count_nonzero(got)
     assert (got.sum(0) == q).all() and got.sum(1).max() - got.sum(1).min() <= 2 and (got >= 0).all()

@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.functions.joins import SALTS, lookup
+from threadmill.functions.joins import lookup
+
+SALTS = 16
 from threadmill.llm.formatdups import _mix, fold_table, poly_hashes
 from threadmill.llm.groupsplit import _PAD, post_key
 from threadmill.session import cut

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.functions.joins import lookup
+from threadmill.functions.joins import hot_groups, hot_keys, lookup
 from threadmill.session import cut
 
 _PAD = r"^[\s\x{a0}\x{3000}\x{200b}\x{feff}]+|[\s\x{a0}\x{3000}\x{200b}\x{feff}]+$"
@@ -64,11 +64,12 @@ def star_components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
+        hot = hot_keys(e, "u", "v")
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = lookup(both, least, "u", ["v"], "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = lookup(both, least, "u", ["v"], "inner", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = lookup(large, least, "u", ["v"], "inner")
+        small = lookup(large, least, "u", ["v"], "inner", hot)
         e = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
@@ -79,30 +80,31 @@ def star_components(edges: DataFrame) -> DataFrame:
 def group_records(keys: DataFrame) -> DataFrame:
     """(tbl, row_id, label, group_key) of every record; group_key is null for records without key.
 
-    ``keys`` has tbl, row_id, author, post, label. A hot author, post or group is pre-aggregated
-    before any shuffle and looked up under a salt.
+    ``keys`` has tbl, row_id, author, post, label. Authors and posts are pre-aggregated
+    before any shuffle, hot ones found in one pass and looked up under a salt.
     """
+    keys = cut(keys)
+    hot = hot_keys(keys, "author", "post")
     owned = keys.where("author is not null and post is not null").select("post", "author").distinct()
-    owner = owned.groupBy("post").agg(F.min("author").alias("first"), F.count("*").alias("n"))
-    owner = cut(owner)
-    shared = lookup(owned, owner.where("n > 1").select("post", "first"), "post", ["author"], "inner")
+    owner = cut(owned.groupBy("post").agg(F.min("author").alias("first"), F.count("*").alias("n")))
+    shared = lookup(owned, owner.where("n > 1").select("post", "first"), "post", ["author"], "inner", hot)
     roots = star_components(shared.select(F.col("author").alias("a"), F.col("first").alias("b")))
     spread = ["tbl", "row_id"]
-    lone = lookup(keys.where("author is null").select("tbl", "row_id", "label", "post"), owner.select("post", "first"), "post", spread)
+    lone = lookup(keys.where("author is null").select("tbl", "row_id", "label", "post"), owner.select("post", "first"), "post", spread, hot=hot)
     named = keys.where("author is not null").select("tbl", "row_id", "label", F.col("author").alias("k")).union(lone.select("tbl", "row_id", "label", F.coalesce("first", "post")))
-    rooted = lookup(named, roots.select(F.col("node").alias("k"), "root"), "k", spread)
+    rooted = lookup(named, roots.select(F.col("node").alias("k"), "root"), "k", spread, hot=hot)
     return rooted.select("tbl", "row_id", "label", F.coalesce("root", "k").alias("group_key"))
 
 
-def related_records(keys: DataFrame) -> DataFrame:
-    """The records of group_records that belong to a group of at least two.
+def related_records(keys: DataFrame, shares: Mapping[str, float] | None = None) -> DataFrame:
+    """(tbl, row_id, group_key) of the records that belong to a group of at least two.
+
+    They are read off the assigned records: the groups are those the splits keep whole.
 
     Defined results: records without any key are in no group; a repeated record is two
     rows of its group; null ids are kept; empty tables give an empty result.
     """
-    groups = cut(group_records(keys).where("group_key is not null"))
-    large = groups.groupBy("group_key").agg(F.count("*").alias("n")).where("n > 1")
-    return lookup(groups, large, "group_key", ["tbl", "row_id"], "inner").select("tbl", "row_id", "group_key")
+    return assigned_records(keys, shares or SHARES).where("keyed and n_rows > 1").select("tbl", "row_id", "group_key")
 
 
 # ---------------------------------------------------------------- assignment
@@ -110,12 +112,21 @@ def _cost(s: np.ndarray, t: np.ndarray) -> float:
     return float((((s - t) ** 2) / np.maximum(t.sum(0), 1)).sum())
 
 
-def anneal(sizes: np.ndarray, target: np.ndarray, seed: int, moves: int) -> tuple[np.ndarray, float]:
-    """Assign components to splits: sizes (n, d) of each in rows and labels, target (k, d)."""
+def hashed_start(place: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The split of each component by its hashed place in [0, 1) and the splits' shares."""
+    share = np.maximum(target[:, 0], 1e-9)
+    return np.minimum(np.searchsorted(np.cumsum(share / share.sum()), place, "right"), len(target) - 1)
+
+
+def anneal(sizes: np.ndarray, target: np.ndarray, place: np.ndarray, seed: int, moves: int) -> tuple[np.ndarray, float]:
+    """Assign components to splits: sizes (n, d) of each in rows and labels, target (k, d).
+
+    The start is the hashed assignment of ``place``; the same input in the same order
+    gives the same result.
+    """
     rng = np.random.default_rng(seed)
     n, k = len(sizes), len(target)
-    share = np.maximum(target[:, 0], 1e-9)
-    at = rng.choice(k, n, p=share / share.sum())
+    at = hashed_start(place, target)
     s = np.zeros_like(target)
     np.add.at(s, at, sizes)
     weight = 1 / np.maximum(target.sum(0), 1)
@@ -147,19 +158,24 @@ def anneal(sizes: np.ndarray, target: np.ndarray, seed: int, moves: int) -> tupl
     return (at, cost) if cost <= best else (kept, best)
 
 
+#: Default proportions.
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 _BLOCK = 20_000
 #: The most frequent labels count each by itself, all others in so many hashed buckets.
 _MAX_LABELS = 64
 _LABEL_BUCKETS = 64
 
 
-def assign_components(groups: DataFrame, shares: Mapping[str, float], seed: int = 7, replicas: int = 4, moves: int = 20_000) -> DataFrame:
-    """(group_key, split) for every component of ``groups`` (group_key, label).
+def assign_components(groups: DataFrame, shares: Mapping[str, float], seed: int = 7, replicas: int = 4, moves_each: float = 2.0, least_moves: int = 20_000) -> DataFrame:
+    """(group_key, split, n_rows) for every component of ``groups`` (group_key, label).
 
-    ``shares`` are the splits' proportions, summing to 1. Components of more than a
-    hundredth of the rows are at most a hundred; the driver anneals these first. The
-    others are hashed into blocks of about 20,000, each annealed by itself towards what
-    the large ones leave, in ``replicas`` copies of ``moves`` steps.
+    ``shares`` are the splits' proportions, summing to 1. Every component starts where the
+    hash of its key puts it. Components of more than a hundredth of the rows are at most a
+    hundred; the driver anneals these first. The others are hashed into blocks of about
+    20,000, each annealed by itself towards what the large ones leave, in ``replicas``
+    copies of ``moves_each`` steps a component (``least_moves`` at least), of which the
+    best stays. A block is annealed in the order of its keys, so neither the order nor the
+    partitioning of the rows matters.
 
     The 64 most frequent labels are balanced each by itself; the others are hashed into 64
     buckets, and what is balanced of these is the rows of each bucket.
@@ -173,43 +189,68 @@ def assign_components(groups: DataFrame, shares: Mapping[str, float], seed: int
         bucket = F.when(~label.isin(labels), F.pmod(F.xxhash64(label), F.lit(_LABEL_BUCKETS)))
         columns += [F.coalesce(bucket == b, F.lit(False)) for b in range(_LABEL_BUCKETS)]
     counts = [F.sum(c.cast("int")).cast("double") for c in columns]
-    parts = cut(groups.groupBy("group_key").agg(F.array(F.count("*").cast("double"), *counts).alias("v")))
+    place = (F.pmod(F.xxhash64("group_key", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("place")
+    parts = cut(groups.groupBy("group_key").agg(F.array(F.count("*").cast("double"), *counts).alias("v")).select("group_key", "v", place))
     names, share = list(shares), np.array(list(shares.values()), float)[:, None]
     whole = np.array(parts.agg(F.array(*[F.sum(F.col("v")[i]) for i in range(len(counts) + 1)])).first()[0] or [0.0] * (len(counts) + 1), float)
     whole = np.nan_to_num(np.array([x or 0.0 for x in whole]))
-    big = parts.where(F.col("v")[0] > max(total / 100, 1)).toPandas()  # at most 100 rows
+    big = parts.where(F.col("v")[0] > max(total / 100, 1)).toPandas().sort_values("group_key")  # at most 100 rows
     left = share * whole[None, :]
-    chosen: dict[str, str] = {}
+    steps = lambda n: max(least_moves, int(moves_each * n))
+
+    def search(rows: pd.DataFrame, target: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes, place = np.stack(rows["v"].to_numpy()).astype(float), rows["place"].to_numpy()
+        at, _ = min((anneal(sizes, target, place, first + r, steps(len(rows))) for r in range(replicas)), key=lambda x: x[1])
+        return sizes, at
+
+    chosen: list[tuple[str, str, int]] = []
     if len(big):
-        sizes = np.stack(big["v"].to_numpy()).astype(float)
-        at, _ = min((anneal(sizes, left, seed + r, moves) for r in range(replicas)), key=lambda x: x[1])
+        sizes, at = search(big, left, seed)
         np.subtract.at(left, at, sizes)
-        chosen = {k: names[a] for k, a in zip(big["group_key"], at)}
+        chosen = [(k, names[a], int(v[0])) for k, a, v in zip(big["group_key"], at, sizes)]
     left = np.maximum(left, 0)
     ratio = left / np.maximum(left.sum(0, keepdims=True), 1e-9)
     small = parts.where(F.col("v")[0] <= max(total / 100, 1))
     blocks = max(1, math.ceil(small.count() / _BLOCK))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("group_key")
         sizes = np.stack(pdf["v"].to_numpy()).astype(float)
-        target = ratio * sizes.sum(0)[None, :]
-        first = int(pdf["b"].iloc[0])
-        at, _ = min((anneal(sizes, target, seed + 1000 * first + r, moves) for r in range(replicas)), key=lambda x: x[1])
-        return pd.DataFrame({"group_key": pdf["group_key"], "split": [names[a] for a in at]})
+        _, at = search(pdf, ratio * sizes.sum(0)[None, :], seed + 1000 * (1 + int(pdf["b"].iloc[0])))
+        return pd.DataFrame({"group_key": pdf["group_key"], "split": [names[a] for a in at], "n_rows": sizes[:, 0].astype(np.int64)})
 
-    done = small.withColumn("b", F.pmod(F.xxhash64("group_key"), F.lit(blocks))).groupBy("b").applyInPandas(block, "group_key string, split string")
-    large = groups.sparkSession.createDataFrame(list(chosen.items()), "group_key string, split string")
+    schema = "group_key string, split string, n_rows bigint"
+    done = small.withColumn("b", F.pmod(F.xxhash64("group_key"), F.lit(blocks))).groupBy("b").applyInPandas(block, schema)
+    large = groups.sparkSession.createDataFrame(chosen, schema)
     return done.union(large)
 
 
+def assigned_records(keys: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """(tbl, row_id, label, keyed, group_key, n_rows, split) for every record.
+
+    Related records have one group_key and one split; n_rows is the number of records with
+    it. A record without any key (keyed is false) is a component by itself.
+    """
+    groups = group_records(keys)
+    own = F.concat_ws("#", F.lit(""), "tbl", F.coalesce(F.col("row_id").cast("string"), F.lit("")))
+    labelled = cut(groups.select("tbl", "row_id", "label", F.col("group_key").isNotNull().alias("keyed"), F.coalesce("group_key", own).alias("group_key")))
+    assigned = cut(assign_components(labelled, shares))
+    return lookup(labelled, assigned, "group_key", ["tbl", "row_id"], "inner", hot_groups(assigned, "group_key", "n_rows")).select("tbl", "row_id", "label", "keyed", "group_key", "n_rows", "split")
+
+
 def split_records(keys: DataFrame, shares: Mapping[str, float]) -> DataFrame:
     """(tbl, row_id, split) for every record, related records in one split.
 
-    A record without key is its own component. Ties are decided by the seed, so a repeated
-    run gives the same splits on the same rows.
+    A record without key is its own component. The splits follow from the keys, labels and
+    the seed alone: a repeated run gives the same, in whatever order the rows come.
     """
-    groups = group_records(keys)
-    own = F.concat_ws("#", "tbl", F.coalesce(F.col("row_id").cast("string"), F.lit("")))
-    labelled = cut(groups.select("tbl", "row_id", "label", F.coalesce("group_key", own).alias("group_key")))
-    return lookup(labelled, assign_components(labelled, shares), "group_key", ["tbl", "row_id"]).select("tbl", "row_id", "split")
+    return assigned_records(keys, shares).select("tbl", "row_id", "split")
+
 
+def split_report(assigned: DataFrame, shares: Mapping[str, float]) -> DataFrame:
+    """(split, label, n_rows, n_label, target): the rows of each label in each split of ``assigned_records``."""
+    splits = assigned.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "split string, target double")
+    counts = assigned.groupBy("split", "label").agg(F.count("*").alias("n_rows"))
+    whole = counts.groupBy("label").agg(F.sum("n_rows").alias("n_label"))
+    every = whole.join(F.broadcast(splits), how="cross").select("split", "label", "n_label", "target")
+    return every.join(counts, ["split", "label"], "left").select("split", "label", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_label", "target")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.crosssplit import cross_split_pairs, overlap_report
 from threadmill.llm.formatdups import collapse, duplicate_members
-from threadmill.llm.groupsplit import record_keys, related_records, split_records
-from threadmill.llm.leakage import leak_report, leaks
-from threadmill.llm.mixing import mix, mix_shares
+from threadmill.llm.groupsplit import SHARES, assigned_records, record_keys, related_records, split_records, split_report
+from threadmill.llm.leakage import leak_report, leaks, overlaps
+from threadmill.llm.mixing import mix, mix_limits, mix_shares
 from threadmill.llm.pii import find_pii, redact
 from threadmill.llm.readlevel import hard_documents, reading_levels
 from threadmill.llm.truncation import truncated, truncation_rates
@@ -48,12 +48,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")))
 
 
-_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-
-
 def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every note and post: (tbl, row_id, split)."""
-    return split_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")), _SHARES)
+    return split_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")), SHARES)
+
+
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the splits must satisfy: (n_rows, n_torn_groups, near_shares, near_labels).
+
+    n_torn_groups counts groups whose rows are in several splits; near_shares and
+    near_labels say whether every split's part of all rows, and of each label, is within
+    a hundredth of its proportion.
+    """
+    assigned = assigned_records(record_keys(table(spark, sf_dir, "notes"), table(spark, sf_dir, "source_posts")), SHARES)
+    per = assigned.groupBy("split").agg(F.count("*").alias("n"))
+    torn = assigned.groupBy("group_key").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").agg(F.count("*").alias("n_torn_groups"))
+    target = F.element_at(F.create_map(*[F.lit(x) for pair in SHARES.items() for x in pair]), F.col("split"))
+    near = lambda n, whole: F.bool_and(F.abs(F.col(n) / F.col(whole) - target) < 0.01)
+    whole = per.agg(F.sum("n").alias("n_rows"))
+    shares = per.join(F.broadcast(whole), how="cross").groupBy("n_rows").agg(near("n", "n_rows").alias("near_shares"))
+    labels = split_report(assigned, SHARES).where("n_label >= 1000").agg(F.coalesce(near("n_rows", "n_label"), F.lit(True)).alias("near_labels"))
+    return shares.join(F.broadcast(torn), how="cross").join(F.broadcast(labels), how="cross")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +101,11 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
 
 
+def p8_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a stretch of an item with substitutions: (doc_id, item_id, run, overlap)."""
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of reading level 4: (doc_id)."""
     return hard_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
@@ -108,21 +128,34 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(cut(mix(table(spark, sf_dir, "documents"), targets)), targets)
 
 
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix must satisfy for every target: (source, has_documents, within_repeats, share_met).
+
+    share_met: the source's tokens are within one document of its share of the total, or
+    of all its tokens as often as they may be repeated.
+    """
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mix_limits(cut(mix(documents, targets)), documents, targets)
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
     "p5_found": p5_found,
     "p5_split": p5_split,
+    "p5_balance": p5_balance,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p8_found": p8_found,
     "p8_items": p8_items,
+    "p8_overlaps": p8_overlaps,
     "p10_found": p10_found,
     "p10_profile": p10_profile,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_limits": p9_limits,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
 }
@@ -163,7 +196,9 @@ _LEAKED = f"""with s as (select item_id, lang, list_filter(list_transform({_SENT
 ORACLE_SQL: dict[str, str] = {
     "p4_found": f"with {_COPIES} select rep as id_a, id as id_b from g where id <> rep",
     "p4_copies": f"with {_COPIES} select rep as id, count(*) as n_copies from g group by 1",
+    "p5_balance": "select count(*) as n_rows, 0 as n_torn_groups, true as near_shares, true as near_labels from (select id from notes union all select row_id from source_posts)",
     "p5_found": f"{_RELATED} select tbl, row_id, group_key from c where size > 1",
+    "p9_limits": "select source, count(doc_id) > 0 as has_documents, true as within_repeats, true as share_met from mix_targets left join (select * from documents where length(text) > 0) using (source) group by 1",
     "p8_found": f"{_LEAKED} select doc_id, item_id from found",
     "p8_items": f"{_LEAKED}, c as (select item_id, count(*) as docs from found group by 1) select item_set, count(*) as n_items, count(docs) as n_leaked, coalesce(sum(docs), 0)::bigint as n_documents from eval_passages left join c using (item_id) group by 1",
 }
