@@ -60,7 +60,7 @@ def test_issues(spark):
     )
     got = {r[0]: set(r[1]) for r in units.unit_issues(df).collect()}
     assert got["good"] == set()
-    assert got["late"] == {"downstream_after_non_r1", "units_after_non_r1"}
+    assert got["late"] == {"downstream_after_non_r1", "units_after_non_r1", "units_for_ineligible_row"}
     assert got["bad"] == {"invalid_csm_domain", "evidence_span_not_found", "confidence_out_of_range", "missing_concept", "missing_evidence_span"}
     assert "missing_relevance" in got["none"]
 
@@ -192,7 +192,11 @@ def test_files(spark, tmp_path):
     p = tmp_path / "posts.csv"
     p.write_text("Post_ID,Text\n0012,好疼\n0013,\n", encoding="utf-8")
     df = files.load_posts(files.read_table(spark, str(p)), country="CHI", language="zh")
-    assert [(r["post_id"], r["issues"]) for r in df.collect()] == [("0012", [])]
+    assert [(r["post_id"], r["issues"]) for r in df.collect()] == [("0012", []), ("0013", ["missing_text"])]
+    p.write_text("Post_ID,Text,Title\n1,,好疼\n2,,\n", encoding="utf-8")  # a title alone is a text
+    df = files.load_posts(files.read_table(spark, str(p)), country="CHI", language="zh", drop_empty=True)
+    assert [(r["post_id"], r["original_title"], r["issues"]) for r in df.collect()] == [("1", "好疼", [])]
+    p.write_text("Post_ID,Text\n0012,好疼\n0013,\n", encoding="utf-8")
     with pytest.raises(ValueError, match="Ambiguous post_id"):
         files.infer_columns(["post_id", "id", "text"])
     with pytest.raises(ValueError, match="country must be provided"):

@@ -96,3 +96,8 @@ def note_id_of(url: Column) -> Column:
 def page_type(url: Column) -> Column:
     """note_detail, search_result, home or unknown."""
     return F.when(url.rlike("/explore/|/discovery/item/"), "note_detail").when(url.contains("/search_result"), "search_result").when(url.rlike(r"^https?://[^/]+/?(explore/?)?$"), "home").otherwise("unknown")
+
+
+def long_prefix(c: Column, marker: str, least: int = 3) -> Column:
+    """Whether a marker stands in a text behind at least ``least`` characters."""
+    return F.coalesce(F.contains(c, F.lit(marker)) & (F.length(F.substring_index(c, marker, 1)) >= least), F.lit(False))

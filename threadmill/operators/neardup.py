@@ -1,0 +1,57 @@
+"""Near-duplicate texts within one corpus: candidates with their similarity, nothing is deleted.
+
+Texts of equal words are one class. A class is the set of its shingles of five words; two
+classes whose sets have a Jaccard similarity of at least 0.8 share one of the rarest
+shingles of both (prefix filter), so classes meet at these only, and no pair is missed.
+A shingle that many texts share is frequent, so it comes last and is rarely met at.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from threadmill.functions.joins import hot_keys, lookup
+from threadmill.session import cut
+
+WORDS = 5
+SIMILARITY = 0.8
+#: A word: a run of Latin letters or digits, or one character of a script without spaces.
+_WORD = r"([a-z0-9]+|[\p{L}&&[^a-z]])"
+
+
+def shingles(text: Column, words: int = WORDS) -> Column:
+    """The distinct hashes of a text's runs of five words; shorter texts are one shingle."""
+    w = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(1))
+
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, words)))
+        return F.when(F.size(t) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(w), of)[0]
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """((key, class_id), (class_a, class_b, similarity)): membership, and pairs of classes, a < b.
+
+    class_id is the smallest key of the texts with the same shingles. Texts without a word
+    are in no class; null keys are left out; a repeated key may be in several classes.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s")).where(F.size("s") > 0)
+    rows = cut(rows.withColumn("h", F.sha2(F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), ","), 256)))
+    classes = cut(rows.groupBy("h").agg(F.min(key).alias("class_id"), F.min("s").alias("s")))
+    members = lookup(rows.select(key, "h"), classes.select("h", "class_id"), "h", [key], "inner").select(key, "class_id")
+    counts = classes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    each = classes.select("class_id", F.size("s").alias("size"), F.explode("s").alias("x"))
+    # A shingle of one class can't be shared: it stands in front but is not met at.
+    known = lookup(each, counts, "x", ["class_id"])
+    ordered = known.selectExpr("class_id", "size", "x", "n", "row_number() over (partition by class_id order by coalesce(n, 1), x) as place")
+    lead = cut(ordered.where((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1)).select("class_id", "size", "x"))
+    a, b = lead.select(F.col("class_id").alias("class_a"), F.col("size").alias("na"), "x"), lead.select(F.col("class_id").alias("class_b"), F.col("size").alias("nb"), "x")
+    long_enough = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)) & (F.col("class_a") < F.col("class_b"))
+    met = cut(lookup(a, b, "x", ["class_a"], "inner", hot_keys(lead, "x")).where(long_enough).select("class_a", "class_b").distinct())
+    sets = classes.select("class_id", "s")
+    pairs = met.join(sets.select(F.col("class_id").alias("class_a"), F.col("s").alias("sa")), "class_a").join(sets.select(F.col("class_id").alias("class_b"), F.col("s").alias("sb")), "class_b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    scored = pairs.select("class_a", "class_b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
+    return members, scored.where(F.col("similarity") >= similarity - 1e-9)

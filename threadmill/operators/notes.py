@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.functions.text import filled
+from threadmill.functions.text import contains_any, filled
 
 _path = lambda raw, p: F.get_json_object(raw, f"$.{p}")
 
@@ -26,41 +29,57 @@ def count_of(raw: Column, *paths: str) -> Column:
     return F.coalesce(F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(v).try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
+_INFO = {"liked_count": ["likedCount", "liked"], "collected_count": ["collectedCount", "collected"], "comment_count": ["commentCount", "commenCount"], "share_count": ["sharedCount", "shareCount"]}
+
+
 def card_fields(raw: Column) -> list[Column]:
-    """A feed card's ten columns; a card may stand under noteCard or by itself."""
-    at = lambda *p: [x for q in p for x in (f"noteCard.{q}", q)]
-    info = {"liked_count": ["likedCount", "liked"], "collected_count": ["collectedCount", "collected"], "comment_count": ["commentCount", "commenCount", "comment"], "share_count": ["sharedCount", "shareCount"]}
+    """A feed card's ten columns; all come from its noteCard if it has one, else from the card itself."""
+    inner = F.nullif(_path(raw, "noteCard"), F.lit("{}"))
+    card = F.coalesce(F.when(inner.startswith("{"), inner), raw)
     return [
-        first_filled(raw, "id", *at("noteId")).alias("note_id"),
-        first_filled(raw, "xsecToken", "noteCard.xsecToken").alias("xsec_token"),
-        first_filled(raw, *at("displayTitle"), *at("title")).alias("title"),
-        first_filled(raw, *at("type"), default="normal").alias("type"),
-        F.coalesce(first_of(raw, *at("user.nickname"), *at("user.nickName")), F.lit("")).alias("author_name"),
-        first_filled(raw, *at("user.userId")).alias("author_id"),
-        *[count_of(raw, *[f"{b}interactInfo.{p}" for p in ps for b in ("noteCard.", "")]).alias(c) for c, ps in info.items()],
+        F.coalesce(filled(_path(raw, "id")), first_filled(card, "noteId")).alias("note_id"),
+        F.coalesce(filled(_path(raw, "xsecToken")), first_filled(card, "xsecToken")).alias("xsec_token"),
+        first_filled(card, "displayTitle", "title").alias("title"),
+        first_filled(card, "type", default="normal").alias("type"),
+        F.coalesce(first_of(card, "user.nickname", "user.nickName"), F.lit("")).alias("author_name"),
+        first_filled(card, "user.userId").alias("author_id"),
+        *[count_of(card, *[f"interactInfo.{p}" for p in ps]).alias(c) for c, ps in _INFO.items()],
     ]
 
 
-def detail_fields(raw: Column) -> list[Column]:
-    """A note's thirteen columns from its detail object; note_id is null where it has none."""
-    names = lambda path, key: F.filter(F.transform(F.from_json(F.coalesce(_path(raw, path), F.lit("[]")), f"array<struct<{key}:string>>"), lambda x: x[key]), lambda x: F.coalesce(x, F.lit("")) != "")
+def _names(raw: Column, path: str, key: str) -> Column:
+    """The non-empty values of one key in an array of objects."""
+    items = F.from_json(F.coalesce(_path(raw, path), F.lit("[]")), f"array<struct<{key}:string>>")
+    return F.filter(F.transform(items, lambda x: x[key]), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def detail_arrays(raw: Column) -> list[Column]:
+    """A note's thirteen columns from its detail object, lists as arrays; note_id is null where it has none.
+
+    A count that isn't a whole number is 0.
+    """
     ms = _path(raw, "time").try_cast("bigint")
-    video = F.coalesce(*[F.get(names(f"video.media.stream.{c}", "masterUrl"), F.lit(0)) for c in ("h265", "h264")], F.lit(""))
-    info = {"liked_count": ["likedCount", "liked"], "collected_count": ["collectedCount", "collected"], "comment_count": ["commentCount", "commenCount", "comment"], "share_count": ["sharedCount", "shareCount"]}
+    video = F.coalesce(*[F.get(_names(raw, f"video.media.stream.{c}", "masterUrl"), F.lit(0)) for c in ("h265", "h264")], F.lit(""))
     return [
         filled(_path(raw, "noteId")).alias("note_id"),
         F.coalesce(_path(raw, "title"), F.lit("")).alias("title"),
         F.coalesce(_path(raw, "desc"), F.lit("")).alias("content"),
         F.coalesce(first_of(raw, "user.nickname", "user.nickName"), F.lit("")).alias("author_name"),
         F.coalesce(_path(raw, "user.userId"), F.lit("")).alias("author_id"),
-        *[count_of(raw, *[f"interactInfo.{p}" for p in ps]).alias(c) for c, ps in info.items()],
+        *[count_of(raw, *[f"interactInfo.{p}" for p in ps]).alias(c) for c, ps in _INFO.items()],
         F.coalesce(F.date_format(F.timestamp_millis(F.nullif(ms, F.lit(0))), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("publish_time"),
-        F.array_join(names("imageList", "urlDefault"), "; ").alias("images"),
+        _names(raw, "imageList", "urlDefault").alias("images"),
         video.alias("video_url"),
-        F.array_join(names("tagList", "name"), "; ").alias("hashtags"),
+        _names(raw, "tagList", "name").alias("hashtags"),
     ]
 
 
+def detail_fields(raw: Column) -> list[Column]:
+    """detail_arrays with lists joined by '; '."""
+    names = ["note_id", "title", "content", "author_name", "author_id", *_INFO, "publish_time", "images", "video_url", "hashtags"]
+    return [F.array_join(c, "; ").alias(n) if n in ("images", "hashtags") else c for n, c in zip(names, detail_arrays(raw))]
+
+
 def note_of_state(state: Column) -> Column:
     """The note of a page state: the current (or first) id's entry, else the first that has one.
 
@@ -90,6 +109,47 @@ def merge_stores(existing: DataFrame, new: DataFrame, key: str, order: str) -> D
     return existing.unionByName(fresh.join(existing.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti"))
 
 
+def merge_counts(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """One row (n_read, n_inserted, n_skipped) of merging new rows into a store, first wins.
+
+    Rows without key can't be known again and are all inserted.
+    """
+    keyed = new.where(F.col(key).isNotNull()).select(key)
+    fresh = keyed.distinct().join(existing.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("__fresh"))
+    read = new.agg(F.count("*").alias("n_read"), F.count_if(F.col(key).isNull()).alias("__null"))
+    both = read.join(F.broadcast(fresh), how="cross").withColumn("n_inserted", F.col("__fresh") + F.col("__null"))
+    return both.select("n_read", "n_inserted", (F.col("n_read") - F.col("n_inserted")).alias("n_skipped"))
+
+
+def export(df: DataFrame, keyword: str | None = None) -> DataFrame:
+    """What an export holds: all notes, or those whose keyword contains a text, whatever the case."""
+    return df.where(F.lower("keyword").contains(keyword.lower())) if keyword else df
+
+
+def listing() -> list[Column]:
+    """The columns of a printed result list, cut to their widths; missing counts are '0'."""
+    cut_ = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    return [cut_(F.col(c), n).alias(a) for c, n, a in (("note_id", 16, "note_id"), ("title", 28, "title"), ("author_name", 12, "author"))] + [
+        F.coalesce(F.col("liked_count"), F.lit(0)).cast("string").alias("likes"), F.coalesce(F.col("collected_count"), F.lit(0)).cast("string").alias("collects"), cut_(F.col("publish_time"), 10).alias("time"),
+    ]
+
+
+def title_relevant(title: Column, keyword: Column, variants: Mapping[str, Sequence[str]], terms: Sequence[str]) -> Column:
+    """Whether a title holds its keyword or one of its variants, whatever the case, or a general term."""
+    low = F.lower(title)
+    own = F.coalesce(F.contains(low, F.lower(keyword)), F.lit(False))
+    by_variant = [(keyword == k) & contains_any(low, [v.lower() for v in vs]) for k, vs in variants.items() if vs]
+    found = reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), [*by_variant, contains_any(title, terms)], own)
+    return F.coalesce((title != "") & found, F.lit(False))
+
+
+def most_engaged(df: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, order, engagement): of each group the row of most likes and collects, the first of equal ones."""
+    total = F.coalesce("liked_count", F.lit(0)) + F.coalesce("collected_count", F.lit(0))
+    best = df.groupBy(by).agg(F.max(F.struct(total.alias("t"), (-F.col(order)).alias("o"))).alias("b"))
+    return best.select(by, (-F.col("b.o")).alias(order), F.col("b.t").alias("engagement"))
+
+
 def search(df: DataFrame, keyword: str | None = None, author: str | None = None, min_likes: int = 0, min_collects: int = 0) -> DataFrame:
     """Notes whose title or content holds the keyword, whose author's name holds the author's,
     and that reach the thresholds; a threshold of 0 or less is none."""
@@ -121,16 +181,14 @@ def top_authors(df: DataFrame, limit: int = 10) -> DataFrame:
     return df.groupBy("author_name").agg(F.count("*").alias("n"), F.avg("liked_count").alias("avg_likes")).orderBy(F.desc("n"), F.asc_nulls_first("author_name")).limit(limit)
 
 
-def repeated_titles(df: DataFrame, limit: int = 20, ids: int = 50) -> DataFrame:
-    """Titles of several notes with the ``ids`` smallest of their ids, most frequent first.
+def repeated_titles(df: DataFrame, limit: int = 20) -> DataFrame:
+    """(title, n, note_id): the titles of most notes, one row for each note that has it.
 
-    The top titles are found from counts alone; ids are gathered for those only, and no
-    more than asked for, so one title of a third of all rows is no large group.
+    The top titles are found from counts alone. All their ids come out, as rows: a title
+    that a third of all notes share would be too much for one list.
     """
     counts = df.where(F.col("title") != "").groupBy("title").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "title").limit(limit)
-    rows = df.select("title", "id").join(F.broadcast(counts), "title").selectExpr("title", "n", "id", "row_number() over (partition by title order by id) as rn")
-    few = rows.where(F.col("rn") <= ids).groupBy("title", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return few
+    return df.select("title", "note_id").join(F.broadcast(counts), "title").select("title", "n", "note_id")
 
 
 def stale_runs(batches: DataFrame, order: str, new: str, limit: int) -> DataFrame:

@@ -113,4 +113,3 @@ def written_date(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(strip(text), r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", 0), F.lit(""))
 
 
-__all__ = ["first_cards", "link_cards", "links", "links_of", "search_cards", "state_cards", "written_date"]

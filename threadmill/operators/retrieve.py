@@ -114,3 +114,15 @@ def rerank(candidates: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
     pool = candidates.where(F.col("rank") <= 3 * k).join(scores, ["qid", "gid"], "left")
     s = F.when(~F.isnan("rerank_score") & (F.abs("rerank_score") != float("inf")), F.col("rerank_score"))
     return pool.withColumn("rerank_score", s).selectExpr("qid", "gid", "score", "row_number() over (partition by qid order by rerank_score desc nulls last, rank, gid) as rank").where(F.col("rank") <= k)
+
+
+def trace_rows(found: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
+    """(post_id, rank, score, gold columns): one row for each retrieved example (qid, gid, rank, score).
+
+    ``queries`` is (qid, post_id), ``gold`` (gid, post_id, country, language and labels);
+    a score that isn't finite is null, a missing label ''.
+    """
+    score = F.when(~F.isnan("score") & (F.abs("score") != float("inf")), F.col("score"))
+    labels = [F.coalesce(c, F.lit("")).alias(f"gold_{c}") for c in ("experiencer_label", "content_function")]
+    about = gold.select("gid", *[F.col(c).alias(f"gold_{c}") for c in ("post_id", "country", "language")], *labels)
+    return found.join(queries, "qid").join(about, "gid").select("post_id", "rank", score.alias("score"), *[f"gold_{c}" for c in ("post_id", "country", "language", "experiencer_label", "content_function")])

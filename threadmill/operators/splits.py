@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.functions.text import canonical_id, combined_text, filled, fingerprint, joined, strip
+from threadmill.session import cut
 
 
 def row_keys(posts: DataFrame) -> DataFrame:
@@ -64,20 +65,53 @@ def strata_counts(df: DataFrame, *columns: str) -> DataFrame:
     return every.agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-def stratified_replacement(leaked: DataFrame, pool: DataFrame, strata: list[str], key: str) -> DataFrame:
-    """(leaked key, replacement): the n-th leaked row of a stratum takes its n-th candidate.
+def stratified_replacement(leaked: DataFrame, pool: DataFrame, taken: DataFrame, strata: list[str], key: str, on_missing: str = "error") -> DataFrame:
+    """(leaked, strata..., replacement): every leaked row gets a row of its stratum, in order of ``key``.
 
-    Candidates are ordered by id as text. Where fingerprints repeat among candidates only
-    the first of each is one, so ranks stay exact; rows beyond the candidates get null.
-    No stratum needs more candidates than the most rows that leaked in one, so tasks keep
-    only that many of each before the shuffle.
+    A row's replacement is the first candidate of its stratum, by id as text, whose id_key
+    and fingerprint neither stand in ``taken`` (key_type, key: what protected or remaining
+    evaluation rows hold) nor belong to a replacement of an earlier leaked row of any
+    stratum. A row without candidate is an error, or with ``on_missing`` 'null' has none.
+    ``leaked`` and ``pool`` are row_keys with ``key`` and the strata; a null stratum is one
+    of its own.
+
+    Rows and candidates of a stratum meet by rank. Where two rows, of one stratum or of
+    two, would share an id or a fingerprint, all rows before the first that would repeat an
+    earlier one are settled, and what they took is taken from the rest; so a round settles
+    everything where nothing repeats.
     """
-    most = leaked.groupBy(*strata).count().agg(F.max("count")).first()[0] or 0
-    once = pool.where("fp_clean is not null").groupBy("fp_clean").agg(F.min(F.struct(F.col(key).cast("string").alias("o"), key, *strata)).alias("c")).select("c.*")
-    by = ", ".join(strata)
-    ranked = once.selectExpr("*", f"row_number() over (partition by {by} order by o) as rn").where(F.col("rn") <= most).select(*strata, "rn", F.col(key).alias("replacement"))
-    wanted = leaked.selectExpr("*", f"row_number() over (partition by {by} order by {key}) as rn")
-    return wanted.join(ranked, [*strata, "rn"], "left").select(F.col(key).alias("leaked"), *strata, "replacement")
+    by, out = ", ".join(f"s{i}" for i in range(len(strata))), None
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"s{i}") for i, c in enumerate(strata)]
+    held = taken.where("key is not null").select("key_type", "key").distinct()
+    left = cut(leaked.select(F.col(key).alias("leaked"), *named, *[F.col(c).alias(f"__{c}") for c in strata]))
+    free = cut(_free(pool.select(F.col(key).alias("c"), F.col(key).cast("string").alias("o"), *named, "id_key", F.col("fp_clean").alias("fp")), held))
+    while True:
+        most = left.groupBy(*[f"s{i}" for i in range(len(strata))]).count().agg(F.max("count")).first()[0] or 0
+        ranked = free.selectExpr("*", f"row_number() over (partition by {by} order by o, c) as rn").where(F.col("rn") <= most)
+        wanted = left.selectExpr("*", f"row_number() over (partition by {by} order by leaked) as rn")
+        got = cut(wanted.join(ranked, [*[f"s{i}" for i in range(len(strata))], "rn"], "left"))
+        repeats = [got.where(f"{k} is not null").selectExpr("leaked", f"row_number() over (partition by {k} order by leaked) as nth").where("nth > 1").select("leaked") for k in ("id_key", "fp")]
+        first = repeats[0].union(repeats[1]).agg(F.min("leaked")).first()[0]
+        settled = got if first is None else got.where(F.col("leaked") < first)
+        result = settled.select("leaked", *[F.col(f"__{c}").alias(c) for c in strata], F.col("c").alias("replacement"))
+        out = result if out is None else out.union(result)
+        if first is None:
+            break
+        used = settled.select(F.inline(F.array(F.struct(F.lit("id").alias("key_type"), F.col("id_key").alias("key")), F.struct(F.lit("fingerprint").alias("key_type"), F.col("fp").alias("key"))))).where("key is not null")
+        left, free = cut(left.where(F.col("leaked") >= first)), cut(_free(free, used))
+    if on_missing == "error":
+        none = [r[0] for r in out.where("replacement is null").select("leaked").orderBy("leaked").limit(20).collect()]
+        if none:
+            raise ValueError(f"No replacement candidate for leaked rows {none}")
+    return out
+
+
+def _free(candidates: DataFrame, held: DataFrame) -> DataFrame:
+    """Candidates whose id and fingerprint aren't held."""
+    for kind, c in (("id", "id_key"), ("fingerprint", "fp")):
+        keys = held.where(F.col("key_type") == kind).select(F.col("key").alias(c)).distinct()
+        candidates = candidates.join(keys, c, "left_anti")
+    return candidates
 
 
 def length_bands(df: DataFrame, length: str, by: str) -> DataFrame:

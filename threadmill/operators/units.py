@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadmill import schema
-from threadmill.functions.text import combined_text, filled, strip
+from threadmill.functions.text import combined_text, filled, joined, strip
 
 
 def accepted(u: Column) -> Column:
@@ -20,7 +23,8 @@ def accepted_units() -> Column:
 
 def domain_labels() -> list[Column]:
     """One 0/1 column per domain, from the accepted units."""
-    return [F.coalesce(F.exists("units", lambda u, d=d: (u["domain"] == d) & accepted(u)), F.lit(False)).cast("int").alias(d.lower().replace(" ", "_")) for d in schema.DOMAINS]
+    touched = F.transform(accepted_units(), lambda u: u["domain"])
+    return [F.coalesce(F.array_contains(touched, d), F.lit(False)).cast("int").alias(d.lower().replace(" ", "_")) for d in schema.DOMAINS]
 
 
 def candidate(experiencer: str) -> Column:
@@ -50,42 +54,179 @@ def flatten_units(df: DataFrame, accepted_only: bool = True) -> DataFrame:
     return rows.select("post_id", "country", "language", "relevance_label", "experiencer_label", "content_function", "unit_pos", *[F.col(f"u.{c}").alias(c) for c in _UNIT_COLUMNS])
 
 
-def unit_issues(df: DataFrame) -> DataFrame:
-    """(post_id, issues): every broken constraint of an extraction row, as codes.
+def _text() -> Column:
+    return F.coalesce(combined_text(F.col("text_clean"), F.col("original_title"), F.col("original_text")), F.lit(""))
+
+
+def _span(u: Column) -> Column:
+    return F.coalesce(strip(u["evidence_span_original"]), F.lit(""))
+
+
+def _code(broken: Column, code: str) -> Column:
+    """The code where a constraint is broken; one that can't be decided is broken."""
+    return F.when(F.coalesce(broken, F.lit(True)), F.lit(code))
+
+
+def _codes(row: list[Column], per_unit: Callable[[Column], Column]) -> Column:
+    found = F.coalesce(F.flatten(F.transform("units", per_unit)), F.array().cast("array<string>"))
+    return F.array_compact(F.concat(F.array(*row), found))
+
+
+def schema_codes() -> Column:
+    """Codes of what the row type itself forbids: closed value sets, required values,
+    confidence outside [0, 1], concepts missing, unit ids repeated."""
+    ids = F.filter(F.transform("units", lambda u: filled(strip(u["unit_id"]))), lambda x: x.isNotNull())
+    known = {"concept_status": schema.CONCEPT_STATUS, "support_type": schema.SUPPORT_TYPES, "assertion": schema.ASSERTIONS, "judge_verdict": schema.VERDICTS}
+    row = [
+        _code(filled(strip(F.col("post_id"))).isNull(), "missing_post_id"),
+        _code(~F.col("country").isin(schema.COUNTRIES), "unknown_country"),
+        _code(~F.col("language").isin(schema.LANGUAGES), "unknown_language"),
+        _code(_text() == "", "missing_text"),
+        F.when(F.size(ids) != F.size(F.array_distinct(ids)), "repeated_unit_id"),
+    ]
+    return _codes(
+        row,
+        lambda u: F.array(
+            _code(~u["confidence"].between(0, 1), "confidence_out_of_range"),
+            _code((u["concept_status"] != "unmapped") & (F.coalesce(strip(u["normalized_concept_en"]), F.lit("")) == ""), "missing_concept"),
+            *[_code(~u[c].isin(v), f"unknown_{c}") for c, v in known.items()],
+        ),
+    )
 
-    Covers missing and premature labels, units after an ineligible label, unknown domains,
-    missing and ungrounded evidence, unknown enum values, confidence outside [0, 1],
-    missing concepts and repeated unit ids. A row without issues has an empty array.
+
+def hierarchy_codes(text: Column, *first: Column) -> Column:
+    """Codes of labels and units that don't fit each other or the text, behind those of ``first``.
+
+    An evidence span must stand in ``text`` letter by letter. Codes come in the order of
+    the checks and as often as they are broken.
     """
     has_units = F.coalesce(F.size("units"), F.lit(0)) > 0
-    r1 = F.coalesce(F.col("relevance_label") == "R1", F.lit(False))
-    eligible = candidate("E1") | candidate("E2")
-    text = F.coalesce(combined_text(F.col("text_clean"), F.col("original_title"), F.col("original_text")), F.lit(""))
-    span = lambda u: F.coalesce(strip(u["evidence_span_original"]), F.lit(""))
-    when = lambda c, code: F.when(F.coalesce(c, F.lit(True)), F.lit(code))
-    row = F.array(
-        when(filled(strip(F.col("post_id"))).isNull(), "missing_post_id"),
-        when(~F.col("country").isin(schema.COUNTRIES), "unknown_country"),
-        when(~F.col("language").isin(schema.LANGUAGES), "unknown_language"),
-        when(text == "", "missing_text"),
-        when(F.col("relevance_label").isNull(), "missing_relevance"),
-        when(~r1 & F.col("relevance_label").isNotNull() & (F.col("experiencer_label").isNotNull() | F.col("content_function").isNotNull()), "downstream_after_non_r1"),
-        when(~r1 & has_units, "units_after_non_r1"),
-        when(r1 & F.col("experiencer_label").isNull(), "missing_experiencer"),
-        when(r1 & F.col("content_function").isNull(), "missing_content_function"),
-        when(r1 & has_units & ~eligible, "units_for_ineligible_row"),
-        when(F.size(F.filter("units", lambda u: filled(u["unit_id"]).isNotNull())) != F.size(F.array_distinct(F.filter(F.transform("units", lambda u: filled(u["unit_id"])), lambda x: x.isNotNull()))), "repeated_unit_id"),
-    )
-    known = {"concept_status": schema.CONCEPT_STATUS, "support_type": schema.SUPPORT_TYPES, "assertion": schema.ASSERTIONS, "judge_verdict": schema.VERDICTS}
-    per = lambda u: F.array(
-        when(~u["domain"].isin(schema.DOMAINS), "invalid_csm_domain"),
-        when(span(u) == "", "missing_evidence_span"),
-        when((span(u) != "") & ~F.contains(text, span(u)), "evidence_span_not_found"),
-        when(~u["confidence"].between(0, 1), "confidence_out_of_range"),
-        when((u["concept_status"] != "unmapped") & (F.coalesce(strip(u["normalized_concept_en"]), F.lit("")) == ""), "missing_concept"),
-        *[when(~u[c].isin(v), f"unknown_{c}") for c, v in known.items()],
+    label = F.col("relevance_label")
+    no = F.coalesce(label.isin("R0", "RU"), F.lit(False))
+    r1 = F.coalesce(label == "R1", F.lit(False))
+    row = [
+        *first,
+        _code(label.isNull(), "missing_relevance"),
+        _code(no & F.col("experiencer_label").isNotNull(), "downstream_after_non_r1"),
+        _code(no & F.col("content_function").isNotNull(), "downstream_after_non_r1"),
+        _code(no & has_units, "units_after_non_r1"),
+        _code(r1 & F.col("experiencer_label").isNull(), "missing_experiencer"),
+        _code(r1 & F.col("content_function").isNull(), "missing_content_function"),
+        _code(has_units & ~(candidate("E1") | candidate("E2")), "units_for_ineligible_row"),
+    ]
+    return _codes(
+        row,
+        lambda u: F.array(
+            _code(~u["domain"].isin(schema.DOMAINS), "invalid_csm_domain"),
+            F.when(_span(u) == "", "missing_evidence_span").when(~F.contains(text, _span(u)), "evidence_span_not_found"),
+        ),
     )
-    return df.select("post_id", F.array_compact(F.concat(row, F.coalesce(F.flatten(F.transform("units", per)), F.array().cast("array<string>")))).alias("issues"))
+
+
+def unit_issues(df: DataFrame) -> DataFrame:
+    """(post_id, issues): every broken constraint of an extraction row, as codes.
+
+    Those of schema_codes, then those of hierarchy_codes against the row's own text. A row
+    without issues has an empty array.
+    """
+    return df.select("post_id", F.concat(schema_codes(), hierarchy_codes(_text())).alias("issues"))
+
+
+def missing_spans(text: Column) -> Column:
+    """All evidence spans that don't stand in a text, in array order; null spans are ''."""
+    spans = F.transform("units", lambda u: F.coalesce(u["evidence_span_original"], F.lit("")))
+    return F.filter(spans, lambda x: ~F.contains(F.coalesce(text, F.lit("")), x))
+
+
+def validate_against_posts(results: DataFrame, posts: DataFrame, key: str) -> DataFrame:
+    """(key, issues, missing, first_error) of every result, checked against its source post.
+
+    Both sides are joined on ``key``, posts with one row for each. issues are the codes of
+    a mismatch of id, country and language followed by hierarchy_codes against the post's
+    text; missing are the spans that don't stand in it; first_error is what a check that
+    stops at the first failure says: a mismatched field, 'spans' or ''. A result without
+    post mismatches in all three and has no text.
+    """
+    about = ["post_id", "country", "language"]
+    source = posts.select(key, *[F.col(c).alias(f"__{c}") for c in about], _text().alias("__text"))
+    joined = results.join(source, key, "left")
+    differs = {c: ~F.col(c).eqNullSafe(F.col(f"__{c}")) | F.col(f"__{c}").isNull() for c in about}
+    text = F.coalesce("__text", F.lit(""))
+    first = F.coalesce(*[F.when(x, F.lit(c)) for c, x in differs.items()], F.when(F.size(missing_spans(text)) > 0, "spans"), F.lit(""))
+    return joined.select(key, hierarchy_codes(text, *[_code(x, f"{c}_mismatch") for c, x in differs.items()]).alias("issues"), missing_spans(text).alias("missing"), first.alias("first_error"))
+
+
+def read_payload(payload: Column) -> Column:
+    """A result from the JSON text of a payload; null where it isn't an object.
+
+    Fields may come under their older names; of several the current name counts.
+    """
+    units = F.from_json(F.get_json_object(payload, "$.units"), "array<string>")
+    at = lambda raw, c: F.coalesce(*[F.get_json_object(raw, f"$.{n}") for n in schema.UNIT_ALIASES.get(c, schema.POST_ALIASES.get(c, [c]))])
+    value = lambda raw, f: at(raw, f.name).try_cast(f.dataType).alias(f.name)
+    unit = lambda raw: F.struct(*[value(raw, f) for f in schema.UNIT.fields])
+    plain = [f for f in schema.EXTRACTION.fields if f.name not in ("units", "country_length_tertile_cutpoints")]
+    result = F.struct(*[value(payload, f) for f in plain], F.coalesce(F.transform(units, unit), F.array().cast(f"array<{schema.UNIT.simpleString()}>")).alias("units"))
+    return F.when(F.json_object_keys(payload).isNotNull(), result)
+
+
+def validate_payloads(df: DataFrame, key: str, payload: str, posts: DataFrame) -> DataFrame:
+    """(key, issues): a raw payload's codes; one that breaks the row type is a 'schema_error' alone."""
+    read = df.select(key, read_payload(F.col(payload)).alias("r"))
+    broken = read.where("r is null").select(key, F.array(F.lit("schema_error")).alias("issues"))
+    rows = read.where("r is not null").select(key, "r.*")
+    known = {"domain": schema.DOMAINS, "temporality": schema.TEMPORALITIES, "sentiment_or_outcome": schema.OUTCOMES}
+    untyped = lambda u: F.coalesce(reduce(lambda a, b: a | b, [~u[c].isin(v) for c, v in known.items()], _span(u) == ""), F.lit(True))
+    unknown = [F.col(c).isNotNull() & ~F.col(c).isin(v) for c, v in {"relevance_label": schema.RELEVANCE, "experiencer_label": schema.EXPERIENCERS, "content_function": schema.FUNCTIONS}.items()]
+    odd = F.when(F.exists("units", untyped) | reduce(lambda a, b: a | b, unknown), F.array(F.lit("unknown_value"))).otherwise(F.array().cast("array<string>"))
+    by_type = rows.select(key, F.concat(schema_codes(), odd).alias("__codes"))
+    checked = validate_against_posts(rows, posts, key).join(by_type, key)
+    return broken.union(checked.select(key, F.when(F.size("__codes") > 0, F.array(F.lit("schema_error"))).otherwise(F.col("issues"))))
+
+
+def empty_results(posts: DataFrame) -> DataFrame:
+    """A result without labels and units for every post."""
+    labels = [F.lit(None).cast("string").alias(c) for c in ("relevance_label", "experiencer_label", "content_function")]
+    return posts.select(*posts.columns, *labels, F.array().cast(f"array<{schema.UNIT.simpleString()}>").alias("units"))
+
+
+def seed_readiness(df: DataFrame, min_primary: int = 1, min_proxy: int = 0) -> DataFrame:
+    """One row (n_primary, n_proxy, n_bad_spans, ready): whether a result table can seed retrieval.
+
+    It needs so many primary and proxy candidates, and no evidence span of these that
+    doesn't stand in its own text.
+    """
+    both = candidate("E1") | candidate("E2")
+    bad = F.sum(F.when(both, F.size(missing_spans(_text()))).otherwise(0))
+    counts = df.agg(F.count_if(candidate("E1")).alias("n_primary"), F.count_if(candidate("E2")).alias("n_proxy"), F.coalesce(bad, F.lit(0)).alias("n_bad_spans"))
+    return counts.withColumn("ready", (F.col("n_primary") >= min_primary) & (F.col("n_proxy") >= min_proxy) & (F.col("n_bad_spans") == 0))
+
+
+def require_seed(df: DataFrame, min_primary: int = 1, min_proxy: int = 0) -> DataFrame:
+    """df, or a ValueError that says why it can't seed retrieval."""
+    r = seed_readiness(df, min_primary, min_proxy).first()
+    if not r["ready"]:
+        raise ValueError(f"Not ready to seed retrieval: {r['n_primary']} primary (needs {min_primary}), {r['n_proxy']} proxy (needs {min_proxy}), {r['n_bad_spans']} ungrounded spans")
+    return df
+
+
+def judge_payload() -> Column:
+    """The units of a row as a judge sees them, as JSON."""
+    keep = ["unit_id", "domain", "evidence_span_original", "surface_text_working", "normalized_concept_en", "support_type", "assertion", "temporality", "sentiment_or_outcome"]
+    return F.to_json(F.transform("units", lambda u: F.struct(*[F.coalesce(u[c], F.lit("")).alias(c) for c in keep])))
+
+
+def post_payload() -> Column:
+    """A post as a model sees it, as JSON."""
+    keep = ["post_id", "country", "language", "platform", "original_title", "original_text", "text_clean", "analysis_text_en"]
+    return F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in keep]))
+
+
+def example_payload() -> Column:
+    """A labelled example as a model sees it: excerpts of 900, 500 and 300 characters, as JSON."""
+    text = joined(F.col("original_title"), F.col("original_text"))
+    part = lambda c, n, name: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(name)
+    return F.to_json(F.struct("country", "language", part(text, 900, "source_excerpt"), "experiencer_label", "content_function", part(F.col("evidence_excerpt"), 500, "evidence_excerpt"), part(F.col("rationale"), 300, "rationale")))
 
 
 def gold_summary(df: DataFrame) -> DataFrame:
@@ -98,8 +239,9 @@ def gold_summary(df: DataFrame) -> DataFrame:
     ).unpivot([], ["posts", "units", "accepted_units", "span_exact_matches", "primary_posts", "proxy_posts"], "measure", "n").select("measure", F.lit("").alias("value"), "n")
     label = lambda src, cols, at: src.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), at(c).alias("value")) for c in cols])))
     posts = label(df, ["country", "language", "relevance_label", "experiencer_label", "content_function"], F.col)
-    units = label(df.select(F.explode("units").alias("u")), ["domain", "concept_status", "support_type", "assertion", "temporality", "sentiment_or_outcome"], lambda c: F.col(f"u.{c}"))
-    hist = posts.union(units).where("value is not null").groupBy("measure", "value").agg(F.count("*").alias("n"))
+    units = label(df.select(F.explode("units").alias("u")), ["domain", "concept_status", "support_type", "assertion", "temporality", "sentiment_or_outcome", "judge_verdict"], lambda c: F.col(f"u.{c}"))
+    taken = label(df.select(F.explode(accepted_units()).alias("u")), ["accepted_domain"], lambda c: F.col("u.domain"))
+    hist = posts.union(units).union(taken).where("value is not null").groupBy("measure", "value").agg(F.count("*").alias("n"))
     return totals.union(hist)
 
 

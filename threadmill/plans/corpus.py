@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.text import canonical_id, combined_text, cue_count, digits_as_count, distinct_tags, marks, note_id_of, occurrences, page_type
 from threadmill.operators import clean, metrics, notes as store, retrieve, splits
-from threadmill.session import table
+from threadmill.session import cut, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,18 +149,28 @@ def strata(spark, d):
     return splits.strata_counts(_posts(spark, d), "country", "length_band").withColumn("level", F.col("level").cast("bigint"))
 
 
-@query(
-    f"""with {_KEYED}, {_LISTED}, k as (select keyed.*, length_band from keyed join source_posts using (row_id)),
-    leaked as (select row_id, country, length_band, row_number() over (partition by country, length_band order by row_id) as rn from k where row_id in (select row_id from listed where split = 'eval_holdout')),
-    once as (select country, length_band, row_id from (select *, row_number() over (partition by fp_clean order by cast(row_id as varchar), row_id) as f from k where fp_clean is not null and row_id not in (select row_id from listed where split <> 'main')) where f = 1),
-    cand as (select *, row_number() over (partition by country, length_band order by cast(row_id as varchar)) as rn from once)
-    select leaked.row_id as leaked, leaked.country, leaked.length_band, cand.row_id as replacement from leaked left join cand using (country, length_band, rn)"""
-)
+_REPLACED = f"""with recursive {_KEYED}, {_LISTED},
+    k as (select row_id, p.country, length_band, id_key, coalesce(fp_given, fp_clean) as fp from keyed join source_posts p using (row_id)),
+    gold as (select * from k where row_id in (select row_id from listed where split in ('classification_gold', 'csm_gold'))), ev as (select * from k where row_id in (select row_id from listed where split = 'eval_holdout')),
+    bad as (select * from ev where id_key in (select id_key from gold) or fp in (select fp from gold)), leaked as (select *, row_number() over (order by row_id) as n from bad),
+    held as (select id_key, fp from gold union all select id_key, fp from ev where row_id not in (select row_id from bad)),
+    cand as (select * from k where row_id in (select row_id from listed where split = 'main') and not exists (select 1 from held h where h.id_key = k.id_key) and not exists (select 1 from held h where h.fp = k.fp)),
+    step as (select 0::bigint as n, []::varchar[] as ids, []::varchar[] as fps, null::bigint as pick
+        union all select s.n + 1, list_append(any_value(s.ids), min(struct_pack(o := cast(c.row_id as varchar), r := c.row_id, i := c.id_key, f := c.fp)).i), list_append(any_value(s.fps), min(struct_pack(o := cast(c.row_id as varchar), r := c.row_id, i := c.id_key, f := c.fp)).f),
+            min(struct_pack(o := cast(c.row_id as varchar), r := c.row_id, i := c.id_key, f := c.fp)).r
+        from step s join leaked l on l.n = s.n + 1 left join cand c on c.country is not distinct from l.country and c.length_band is not distinct from l.length_band and not coalesce(list_contains(s.ids, c.id_key), false) and not coalesce(list_contains(s.fps, c.fp), false) group by s.n)"""
+
+
+@query(f"{_REPLACED} select l.row_id as leaked, l.country, l.length_band, step.pick as replacement from leaked l join step using (n)")
 def stratified_replacements(spark, d):
-    """For every holdout row the post of no evaluation split that would replace it in its stratum."""
-    k, l = splits.row_keys(_posts(spark, d)), _listed(spark, d)
-    leaked = k.join(l.where("split = 'eval_holdout'"), "row_id", "left_semi")
-    return splits.stratified_replacement(leaked, k.join(l.where("split <> 'main'"), "row_id", "left_anti"), ["country", "length_band"], "row_id")
+    """For every holdout row that leaked into the gold sets, the training row that replaces it in its stratum."""
+    k, l = splits.row_keys(_posts(spark, d)).withColumn("fp_clean", F.coalesce("fp_given", "fp_clean")), _listed(spark, d)
+    of = lambda *names: k.join(l.where(F.col("split").isin(*names)), "row_id", "left_semi")
+    keys = lambda df: df.select("row_id", F.inline(F.array(F.struct(F.lit("id").alias("key_type"), F.col("id_key").alias("key")), F.struct(F.lit("fingerprint").alias("key_type"), F.col("fp_clean").alias("key"))))).where("key is not null")
+    gold, ev = keys(of("classification_gold", "csm_gold")).select("key_type", "key").distinct(), of("eval_holdout")
+    bad = cut(keys(ev).join(gold, ["key_type", "key"], "left_semi").select("row_id").distinct())
+    taken = gold.union(keys(ev.join(bad, "row_id", "left_anti")).select("key_type", "key"))
+    return splits.stratified_replacement(ev.join(bad, "row_id", "left_semi"), of("main"), taken, ["country", "length_band"], "row_id", on_missing="null")
 
 
 @query(
@@ -250,13 +260,9 @@ def note_top_authors(spark, d):
     return store.top_authors(table(spark, d, "notes"))
 
 
-@query(
-    """with c as (select title, count(*) as n from notes where title <> '' group by 1 having count(*) > 1 order by n desc, title limit 20),
-    r as (select title, n, id, row_number() over (partition by title order by id) as rn from notes join c using (title))
-    select title, n, string_agg(id::varchar, ',' order by id) as ids from r where rn <= 50 group by 1, 2"""
-)
+@query("with c as (select title, count(*) as n from notes where title <> '' group by 1 having count(*) > 1 order by n desc, title limit 20) select title, n, note_id from notes join c using (title)")
 def note_repeated_titles(spark, d):
-    """The twenty titles of most notes with their first 50 ids."""
+    """The twenty titles of most notes with the ids of all of them."""
     return store.repeated_titles(table(spark, d, "notes"))
 
 
