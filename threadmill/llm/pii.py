@@ -15,7 +15,8 @@ The work is linear in the text; whole texts are read, whatever their length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -30,6 +31,7 @@ _SURNAMES = set(
 )
 _COMPOUND = ["欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "司徒"]
 _NOT_GIVEN = set("的了是我你他她它们在有和跟就都也不这那哪医师生姐哥妈爸叔婶姨嫂弟妹舅姑爷奶爹娘伯侄友桌士夫先主任太总店家人牙院所个")
+_NOT_NAME_ZH = {"楼下", "楼上", "隔壁", "对门", "家里", "时候", "老公", "老婆", "同桌", "房东"}
 _TITLES_ZH = ["医生", "大夫", "老师", "先生", "女士", "阿姨", "师傅", "主任", "护士", "小姐", "教授", "同学", "同事", "经理"]
 _NOT_NAME_JA = {"同級生", "同僚", "先輩", "後輩", "店長", "看護師", "衛生士", "歯科衛生士", "先生", "医師", "両親", "祖母", "祖父", "友人", "家族", "主人", "旦那", "歯医者", "担当者", "受付", "姉", "妹", "兄", "弟", "母", "父", "夫", "妻", "姪", "甥", "叔父", "叔母", "娘", "息子", "彼氏", "彼女", "上司", "部長", "課長", "大学病院", "院長先生", "副院長"}
 _KO_SURNAMES = set("김이박최정강조윤장임한오서신권황안송류유전홍고문양손배백허남심노하곽성차주우구민진나지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용")
@@ -163,7 +165,7 @@ def _numbers(text: str, low: str, blocked: list[tuple[int, int]], cues: dict[int
         for part_a, part_b in _parts(raw, a):
             raw = low[part_a:part_b]
             v = re.sub(r"[^0-9x]", "", raw)
-            if len(v) < 8 or any(x < part_b and part_a < y for x, y in blocked):
+            if len(v) < 8 or _touches(blocked, part_a, part_b):
                 continue
             kind = _left_cue(low, part_a, cues)
             if kind == "no":
@@ -320,6 +322,8 @@ def _name_zh_left(text: str, end: int) -> Span | None:
 def _full_name_zh(s: str) -> bool:
     if not re.fullmatch(rf"{_H}{{2,4}}", s) or any(t in s for t in _TITLES_ZH):
         return False
+    if any(p in s for p in _NOT_NAME_ZH):
+        return False
     given = s[2:] if s[:2] in _COMPOUND else s[1:] if s[0] in _SURNAMES else ""
     return 1 <= len(given) <= 2 and not set(given) & _NOT_GIVEN
 
@@ -420,16 +424,67 @@ _EN_CALLED = re.compile(r"\s+(?:\w+\s+times|three times|twice|again|before)", re
 _EN_WAS = re.compile(r"\s+(?:was|is|did|has|were|who|showed|told|explained|numbed|cleaned)\b", re.I)
 _EN_END = re.compile(r"\s*(?:[.,;!?，。！？\n]|$)")
 
+#: What may follow a full name that a verb or relation word leads to.
+_AFTER_ZH = re.compile(r"[ 　​]*(?:[，,。.；;、：:！!？?\n）)]|$|[我你他她去来说是在就才也很给帮让打发问做看拔补手一推退收电身证带陪要告送过到和跟的])")
+_CALLED_ZH = re.compile(r"(?:喊|叫|念)(?:了|过)?[一二两三四五六七八九十几好多\d]+$")
+#: Frequent Japanese family names, for names that only さん or 氏 marks.
+_SURNAMES_JA = ["佐藤", "鈴木", "高橋", "田中", "伊藤", "渡辺", "渡邊", "山本", "中村", "小林", "加藤", "吉田", "山田", "佐々木", "山口", "松本", "井上", "木村", "清水", "山崎", "阿部", "池田", "橋本", "山下", "石川", "中島", "前田", "藤田", "小川", "後藤", "岡田", "長谷川", "村上", "近藤", "石井", "斎藤", "斉藤", "坂本", "遠藤", "青木", "藤井", "西村", "福田", "太田", "三浦", "藤原", "岡本", "松田", "中川", "中野", "原田", "小野", "田村", "竹内", "金子", "和田", "中山", "石田", "上田", "森田", "柴田", "酒井", "宮崎", "横山", "高木", "安藤", "宮本", "大野", "小島", "谷口", "今井", "工藤", "高田", "増田", "丸山", "杉山", "村田", "大塚", "新井", "小山", "平野", "藤本", "河野", "上野", "野口", "武田", "松井", "千葉", "菅原", "岩崎", "久保", "木下", "佐野", "野村", "松尾", "市川", "菊地", "杉本", "古川", "大西", "島田", "水野", "桜井", "高野", "吉川", "山内", "西田", "飯田"]
+_KNOWN_JA = re.compile(rf"(?:{'|'.join(_SURNAMES_JA)})[ 　​]?(?:{_H}|[ぁ-んァ-ヶー]){{1,3}}$")
+#: Words for a person, before whose name they stand.
+_PEOPLE_EN = ["neighbour", "neighbor", "friend", "colleague", "coworker", "cousin", "brother", "sister", "roommate", "flatmate", "boss", "teacher", "husband", "wife", "aunt", "uncle", "son", "daughter", "partner", "patient", "dentist", "assistant", "receptionist", "hygienist"]
+_EN_ANY = re.compile(r"(?![A-Za-z])")
+_CAPITALS = re.compile(rf"\s+((?:[A-Z][a-z'’]+(?:-[A-Z][a-z]+)*)(?:\s+[A-Z]\.)?\s+[A-Z][a-z'’]+(?:-[A-Z][a-z]+)*)(?![A-Za-z-])")
+
+
+def _name_en_capital(text: str, at: int) -> Span | None:
+    """Two capitalised words (an initial between them) right of a title or a word for a person."""
+    m = _CAPITALS.match(text, at)
+    if not m or any(w.lower().strip(".") in _NOT_NAME_EN | _TITLES_EN for w in m[1].split()):
+        return None
+    return m.start(1), m.end(1), "NAME"
+
+
+def _name_ja_known(text: str, end: int) -> Span | None:
+    """A full name with a frequent family name that ends at ``end``."""
+    m = _KNOWN_JA.search(text[max(0, end - 9) : end])
+    return (max(0, end - 9) + m.start(), end, "NAME") if m else None
+
+
+def _address_ja_blocks(text: str, at: int) -> Span | None:
+    """Expand from a prefecture word: the prefecture's name left, city, place and blocks right."""
+    tail = re.compile(rf"(?:[^\s、。\d]{{1,6}}?[市区郡])[^\s、。\d]{{0,10}}\d+(?:[-－‐]\d+){{1,3}}(?:{_GAP}?[ァ-ヶー一-鿿]{{2,10}}{_GAP}?\d+(?:号室)?)?").match(text, at)
+    head = re.search(r"(?:東京|大阪|京都|北海|[一-鿿]{2,3})[都道府県]$", text[max(0, at - 4) : at])
+    return (max(0, at - 4) + head.start(), tail.end(), "ADDRESS") if tail and head else None
+
+
+_PASSPORT = re.compile(r"[ :：号是は]*([A-Z]{1,2}\d{7,8})(?![0-9A-Za-z])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])")
+
+
+def _accounts(text: str) -> list[Span]:
+    """Bank accounts by their international form and check digits modulo 97."""
+    out: list[Span] = []
+    for m in _IBAN.finditer(text):
+        v = m[0].replace(" ", "")
+        if 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1:
+            out.append((m.start(), m.end(), "ID"))
+    return out
+
+
 #: cue -> how to read a name next to it.
 _NAME_CUES: dict[str, tuple] = {
-    **{c: ("zh>",) for c in ["联系人", "本人", "写着", "医生叫", "护士叫", "大夫叫", "我叫", "名叫", "姓名", "收件人", "收货人", "喊了三遍", "喊了两遍", "喊了几遍", "叫了三遍", "跟", "找", "和", "患者"]},
-    **{c: ("zh<",) for c in ["推荐的那", "推荐的", "我才反应", "一起去的", "介绍的", "收，", "收,", "收 "]},
+    **{c: ("zh>",) for c in ["联系人", "本人", "写着", "医生叫", "护士叫", "大夫叫", "我叫", "名叫", "姓名", "收件人", "收货人", "跟", "找", "和", "患者"]},
+    **{c: ("zh>>",) for c in ["陪", "带着", "请", "问了", "替", "邻居", "同事", "朋友", "同学", "表哥", "表姐", "室友", "房东", "老板"]},
+    **{c: ("zh>n",) for c in ["遍", "次", "声"]},
+    **{c: ("zh<",) for c in ["推荐的", "一起去的", "介绍的", "带我去", "陪我去", "收，", "收,", "收 ", *_TITLES_ZH]},
+    **{c: ("jak",) for c in ["さん", "氏", "様", "先生", "くん", "ちゃん"]},
     **{c: ("ja>",) for c in ["連絡先は", "担当は", "受付で", "言われた、", "言われた,", "言われた ", "宛名は", "名前は", "氏名", "署名は", "号室の", "号の"]},
     **{c: ("ja<",) for c in ["宛で", "宛に", "宛て", "先生、", "さんと呼", "と一緒に", "に教わ", "様方", "が紹介"]},
     **{c: ("ko>",) for c in ["연락처는", "담당은", "접수에서", "적었다,", "적었다", "이름은", "성함은", "받는 사람"]},
     **{c: ("ko<",) for c in ["앞으로", "한테 배", "에게 배", "씨랑", "씨와", "씨가", "씨는", "씨한테", "님 하고", "님이라고"]},
     **{c: ("en>", p, c in (" for ", "dentist ", "nurse ", "surgeon ")) for c, p in {"contact ": _EN_ON, "called ": _EN_CALLED, "hygienist ": _EN_WAS, "dentist ": _EN_WAS, "nurse ": _EN_WAS, "surgeon ": _EN_WAS, "signed ": _EN_END, ", for ": _EN_END, " for ": _EN_END, "name is ": _EN_END, "attention of ": _EN_END, "addressed to ": _EN_END, "ask for ": _EN_END, "attn ": _EN_END}.items()},
-    **{c: ("en<",) for c in [" came with me", " recommended", " taught me", " told me about", " went with me", " sat with me"]},
+    **{c: ("en<",) for c in [" recommended", *(f" {v} with me" for v in ("came", "went", "sat", "stayed", "waited", "walked", "drove")), *(f" {v} me" for v in ("taught", "told", "helped", "drove", "warned", "phoned", "texted"))]},
+    **{c: ("enC",) for c in [*_PEOPLE_EN, *("dr", "dr.", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "prof", "prof.", "professor", "doctor")]},
 }
 
 
@@ -443,6 +498,10 @@ def _automaton() -> ahocorasick.Automaton:
     for w in ("http://", "https://", "www."):
         add(w, "url")
     add("号", "zh号")
+    for w in ("都", "道", "府", "県"):
+        add(w, "ja県")
+    for w in ("护照", "護照", "パスポート", "여권", "passport"):
+        add(w, "passport")
     for w in ("町", "丁目", "村", "区", "字"):
         add(w, "ja町")
     for w in ("로", "길"):
@@ -491,6 +550,16 @@ def find_spans(text: str | None) -> list[Span]:
                     spans.append(_name_zh_right(text, b, _STOP_ZH))
                 elif how == "zh<":
                     spans.append(_name_zh_left(text, a))
+                elif how == "zh>>":
+                    spans.append(_name_zh_right(text, b, _AFTER_ZH))
+                elif how == "zh>n":
+                    if _CALLED_ZH.search(text[max(0, a - 8) : a]):
+                        spans.append(_name_zh_right(text, b, _AFTER_ZH))
+                elif how == "jak":
+                    spans.append(_name_ja_known(text, a))
+                elif how == "enC":
+                    if not (a and low[a - 1].isalnum()):
+                        spans.append(_name_en_capital(text, b))
                 elif how[:2] == "ja":
                     spans.append(_name_ja(text, b, a, how[2] == "<"))
                 elif how[:2] == "ko":
@@ -511,6 +580,11 @@ def find_spans(text: str | None) -> list[Span]:
             elif what == "ja町":
                 if b < len(low) and (low[b].isdigit() or low[b] in " 　"):
                     spans.append(_address_ja(text, low, b))
+            elif what == "ja県":
+                spans.append(_address_ja_blocks(text, b))
+            elif what == "passport":
+                if m := _PASSPORT.match(text, b) or re.compile(r"(?:\s+(?:no|number|is|no\.))*\s+([A-Z]{1,2}\d{7,8})(?![0-9A-Za-z])", re.I).match(text, b):
+                    spans.append((m.start(1), m.end(1), "ID"))
             elif what == "ko로":
                 if b < len(low) and (low[b] == " " or low[b].isdigit()):
                     spans.append(_address_ko(text, low, b))
@@ -518,24 +592,31 @@ def find_spans(text: str | None) -> list[Span]:
                 if b == len(low) or not (low[b].isalnum() or low[b] in "-'"):
                     spans.append(_address_en(text, a + 1, b))
     spans += _numbers(text, low, blocked, cues)
-    return _disjoint([s for s in spans if s and not (s[2] == "EMAIL" and any(x < s[0] < y for x, y in blocked))])
+    spans += _accounts(text)
+    return _disjoint([s for s in spans if s and not (s[2] == "EMAIL" and _touches(blocked, s[0], s[0] + 1))])
+
+
+def _touches(spans: Sequence[tuple], a: int, b: int) -> bool:
+    """Whether a:b overlaps one of spans, which are sorted and disjoint."""
+    k = bisect_left(spans, (a + 1,))
+    return (k > 0 and spans[k - 1][1] > a) or (k < len(spans) and spans[k][0] < b)
 
 
 def _disjoint(spans: list[Span]) -> list[Span]:
     """Of overlapping spans the one of higher rank stays, then the longer one."""
     kept: list[Span] = []
     for s in sorted(set(spans), key=lambda s: (_PRIORITY[s[2]], s[0] - s[1], s[0])):
-        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        if not _touches(kept, s[0], s[1]):
+            insort(kept, s)
+    return kept
 
 
-def redact_text(text: str | None) -> str | None:
+def redact_text(text: str | None, spans: Sequence[Span] | None = None) -> str | None:
     """The text with every item replaced by [TYPE]; everything else unchanged."""
     if not text:
         return text
     out, at = [], 0
-    for a, b, kind in find_spans(text):
+    for a, b, kind in find_spans(text) if spans is None else spans:
         out += [text[at:a], f"[{kind}]"]
         at = b
     return "".join([*out, text[at:]])
@@ -574,6 +655,7 @@ def redact(df: DataFrame, key: str, field: str) -> DataFrame:
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact_text(s) for s in texts], pa.string()), pa.array([len(find_spans(s)) for s in texts], pa.int32())], names=schema.names)
+            spans = [find_spans(s) for s in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(redact_text, texts, spans)), pa.string()), pa.array(list(map(len, spans)), pa.int32())], names=schema.names)
 
     return df.select(key, field).mapInArrow(replace, schema)
