@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from threadmill.llm.crosssplit import cross_split_pairs, overlap_report, shared_wording
+from threadmill.llm.crosssplit import cross_split_pairs, overlap_report, shared_wording, text_classes
 from threadmill.llm.groupsplit import _cost, anneal, assign_components, hashed_start, record_keys, related_records, split_records, star_components
 
 A, B, C = "a" * 24, "b" * 24, "c" * 24
@@ -94,6 +95,12 @@ def test_cross_split(spark):
     assert {tuple(r) for r in cross_split_pairs(m, p).collect()} == {(1, 2), (1, 3)}
     report = {(r[0], r[1]): (r[2], r[3]) for r in overlap_report(m, p).collect()}
     assert report["eval_holdout", "g"] == (2, 1)
+    # A post delivered in two files counts in both.
+    again = p.union(p.where("row_id = 2").withColumn("row_id", F.lit(20).cast("long")).withColumn("source_file", F.lit("h")))
+    report = {(r[0], r[1]): (r[2], r[3]) for r in overlap_report(m, again).collect()}
+    assert report["eval_holdout", "g"] == (2, 1) and report["eval_holdout", "h"] == (1, 1)
+    classes = {r["class_id"]: (r["n_train"], r["n_eval"], r["n_links"]) for r in text_classes(m, p).collect()}
+    assert classes[2] == (0, 1, 1) and classes[4] == (1, 0, 0) and classes[5] == (0, 1, 0)
     assert cross_split_pairs(m.limit(0), p).count() == 0 and cross_split_pairs(m, p.limit(0)).count() == 1
 
 

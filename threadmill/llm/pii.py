@@ -30,7 +30,7 @@ _SURNAMES = set(
     "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤华施卫褚柳鲍俞费岑倪殷毕安常乐时傅皮卞齐康伍元卜穆萧祁米明计成谈茅庞纪舒屈项祝阮蓝闵席季麻强娄危童颜梅盛刁骆樊凌霍虞支柯管解应宗宣贲洪包诸左吉钮"
 )
 _COMPOUND = ["欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "司徒"]
-_NOT_GIVEN = set("的了是我你他她它们在有和跟就都也不这那哪医师生姐哥妈爸叔婶姨嫂弟妹舅姑爷奶爹娘伯侄友桌士夫先主任太总店家人牙院所个")
+_NOT_GIVEN = set("去来说要到才还被把让给从着过的了是我你他她它们在有和跟就都也不这那哪医师生姐哥妈爸叔婶姨嫂弟妹舅姑爷奶爹娘伯侄友桌士夫先主任太总店家人牙院所个")
 _NOT_NAME_ZH = {"楼下", "楼上", "隔壁", "对门", "家里", "时候", "老公", "老婆", "同桌", "房东"}
 _TITLES_ZH = ["医生", "大夫", "老师", "先生", "女士", "阿姨", "师傅", "主任", "护士", "小姐", "教授", "同学", "同事", "经理"]
 _NOT_NAME_JA = {"同級生", "同僚", "先輩", "後輩", "店長", "看護師", "衛生士", "歯科衛生士", "先生", "医師", "両親", "祖母", "祖父", "友人", "家族", "主人", "旦那", "歯医者", "担当者", "受付", "姉", "妹", "兄", "弟", "母", "父", "夫", "妻", "姪", "甥", "叔父", "叔母", "娘", "息子", "彼氏", "彼女", "上司", "部長", "課長", "大学病院", "院長先生", "副院長"}

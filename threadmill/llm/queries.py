@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm.crosssplit import cross_split_pairs, overlap_report
+from threadmill.llm.crosssplit import cross_split_pairs, overlap_report, text_classes
 from threadmill.llm.formatdups import collapse, duplicate_members
 from threadmill.llm.groupsplit import SHARES, assigned_records, record_keys, related_records, split_records, split_report
 from threadmill.llm.leakage import leak_report, leaks, overlaps
@@ -32,6 +32,22 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select(F.lit("notes").alias("tbl"), F.col("id").alias("row_id"), "redacted", "n_items").union(posts.select(F.lit("source_posts").alias("tbl"), "row_id", "redacted", "n_items"))
 
 
+def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What replacing must satisfy: (tbl, n_records, n_wrong).
+
+    n_wrong counts records that gained another number of placeholders than they had items,
+    or changed without an item.
+    """
+    parts = []
+    for name, key, field in (("notes", "id", "content"), ("source_posts", "row_id", "original_text")):
+        df = table(spark, sf_dir, name).withColumn("content", F.col(field))
+        both = redact(df.select(F.struct(F.col(key).alias("k"), "content").alias("r"), "content"), "r", "content")
+        marks = lambda c: F.coalesce(F.regexp_count(c, F.lit(r"\[(?:NAME|PHONE|EMAIL|ID|ADDRESS)\]")), F.lit(0))
+        wrong = (marks(F.col("redacted")) - marks(F.col("r.content")) != F.col("n_items")) | ((F.col("n_items") == 0) & ~F.col("redacted").eqNullSafe(F.col("r.content")))
+        parts.append(both.agg(F.count("*").alias("n_records"), F.count_if(wrong).alias("n_wrong")).select(F.lit(name).alias("tbl"), "n_records", "n_wrong"))
+    return parts[0].union(parts[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy with the smallest id of its group: (id_a, id_b)."""
     pairs = duplicate_members(table(spark, sf_dir, "notes"), "id", "title", "content")
@@ -91,6 +107,11 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "project_split_manifest"), table(spark, sf_dir, "source_posts"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts of listed posts with their entries and links: (class_id, n_train, n_eval, n_links)."""
+    return text_classes(table(spark, sf_dir, "project_split_manifest"), table(spark, sf_dir, "source_posts"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a stretch of an evaluation item: (doc_id, item_id)."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
@@ -148,6 +169,7 @@ QUERIES = {
     "p6_rates": p6_rates,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_classes": p3_classes,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_overlaps": p8_overlaps,
@@ -158,6 +180,7 @@ QUERIES = {
     "p9_limits": p9_limits,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
+    "p2_balance": p2_balance,
 }
 # ---------------------------------------------------------------- oracles
 def _letters(c: str) -> str:
@@ -184,6 +207,15 @@ _RELATED = f"""with recursive k as (select 'notes' as tbl, id as row_id, nullif(
     p as (select post, min(author) as first from o group by 1),
     n as (select tbl, row_id, coalesce(m.root, k.author, m2.root, p.first, k.post) as group_key from k left join m on m.author = k.author left join p on p.post = k.post and k.author is null left join m m2 on m2.author = p.first),
     c as (select *, count(*) over (partition by group_key) as size from n where group_key is not null)"""
+_STRIPPED = lambda c: f"regexp_replace({c}, '^{_PAD}|{_PAD}$', '', 'g')"
+_OVERLAPS = f"""with e as (select entry_id, split, split = 'main' as main, {_STRIPPED('country')} || ':' || {_STRIPPED('post_id')} as ckey, nullif({_STRIPPED('country')}, '') || ':' || {_POST('post_id')} as post from project_split_manifest where split is not null and entry_id is not null),
+    p as (select row_id, {_STRIPPED('country')} || ':' || {_STRIPPED('post_id')} as ckey, coalesce(source_file, '') as source_file, {_letters("case when text_clean is not null and " + _STRIPPED('text_clean') + " <> '' then text_clean else concat_ws(chr(10), original_title, original_text) end")} as t from source_posts),
+    held as (select distinct entry_id, main, t from e join p using (ckey) where t <> ''),
+    side as (select t, bool_or(main) as m, bool_or(not main) as v from held group by 1),
+    g as (select t, m, v, x, row_number() over (partition by t, x) as nth from (select t, m, v, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) as x from side)),
+    near as (select a.t as a, b.t as b, count(*) as c from g a join g b on a.x = b.x and a.nth = b.nth where a.v and b.m group by all),
+    tp as (select a, b from near where c / greatest(length(a) - 2, length(b) - 2, 1) >= 0.7),
+    ep as (select x.entry_id as a, y.entry_id as b from held x join tp on tp.a = x.t and not x.main join held y on y.t = tp.b and y.main union select x.entry_id, y.entry_id from e x join e y using (post) where not x.main and y.main)"""
 _SENTENCES = "regexp_split_to_array(text, '[。！？!?\\n]+|\\.\\s|\\.$')"
 _LEAKED = f"""with s as (select item_id, lang, list_filter(list_transform({_SENTENCES}, lambda x: {_letters('x')}), lambda x: x <> '') as l from eval_passages),
     stock as (select x from (select distinct item_id, unnest(l) as x from s) group by 1 having count(*) >= 3),
@@ -194,6 +226,10 @@ _LEAKED = f"""with s as (select item_id, lang, list_filter(list_transform({_SENT
     found as (select distinct doc_id, item_id from dg join ig using (g))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "p2_balance": "select 'notes' as tbl, count(*) as n_records, 0 as n_wrong from notes union all select 'source_posts', count(*), 0 from source_posts",
+    "p3_found": f"{_OVERLAPS} select distinct least(a, b) as entry_a, greatest(a, b) as entry_b from ep",
+    "p3_report": f"{_OVERLAPS}, f as (select distinct ckey, source_file from p where ckey is not null) select split, coalesce(source_file, '') as source_file, count(*) as n_entries, count_if(entry_id in (select a from ep)) as n_overlapping from e left join f using (ckey) where not main group by all",
+    "p3_classes": f"{_OVERLAPS}, id as (select t, min(row_id) as class_id from p group by 1), l as (select t, count(distinct o) as n from (select a as t, b as o from tp union select b, a from tp) group by 1) select class_id, count_if(main) as n_train, count_if(not main) as n_eval, coalesce(any_value(l.n), 0) as n_links from held join id using (t) left join l using (t) group by 1",
     "p4_found": f"with {_COPIES} select rep as id_a, id as id_b from g where id <> rep",
     "p4_copies": f"with {_COPIES} select rep as id, count(*) as n_copies from g group by 1",
     "p5_balance": "select count(*) as n_rows, 0 as n_torn_groups, true as near_shares, true as near_labels from (select id from notes union all select row_id from source_posts)",
