@@ -246,3 +246,15 @@ def test_stale_tracking_in_a_store(spark, tmp_path):
     sink(spark.createDataFrame([("a", "4")], "keyword string, note_id string"), 3)  # replayed
     assert sorted(r["note_id"] for r in spark.read.parquet(target).collect()) == ["1", "2", "3", "4"]
     assert spark.read.parquet(counters).where("batch = 3 and keyword = 'a'").first()["stale"] == 0
+
+
+def test_sqlite_store(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "other.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table notes (note_id text, title text, liked_count integer)")
+        db.executemany("insert into notes values (?, ?, ?)", [(f"n{k}", "t", k) for k in range(100)] + [(None, None, None)])
+    got = notes.scan_store(spark, path)
+    assert got.columns == schema.NOTE.fieldNames()
+    assert (got.count(), got.agg(F.sum("liked_count")).first()[0], notes.pool_ids(got).count()) == (101, 4950, 100)

@@ -81,3 +81,24 @@ def test_zone_of_an_undeclared_site_is_estimated(spark):
 def test_site_host(spark):
     df = spark.createDataFrame([("HTTPS://M.Note.Example/explore/x",), ("http://u:p@www.a.b:80/",), ("",), (None,), ("nonsense",)], "u string")
     assert [r[0] for r in df.select(site_host(df.u)).collect()] == ["note.example", "a.b", "", "", ""]
+
+
+def test_hidden_zones_are_found_again(spark):
+    import random
+
+    from threadmill.operators.timestamps import check_zones
+
+    rng = random.Random(3)
+    zones = {"a.example": ("Asia/Shanghai", 8), "b.example": ("Asia/Tokyo", 9), "c.example": ("UTC", 0)}
+    rows = []
+    for site, (_, offset) in zones.items():
+        for _ in range(300):
+            at = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(200_000))
+            # No post is collected less than an hour after it; a few rows are odd.
+            lag = rng.choice([-7, -3]) * 60 if rng.random() < 0.02 else 60 + rng.expovariate(1 / 300)
+            rows.append((f"https://{site}/x", at.strftime("%Y-%m-%d %H:%M:%S"), (at - dt.timedelta(hours=offset) + dt.timedelta(minutes=lag)).strftime("%Y-%m-%d %H:%M:%S")))
+    df = spark.createDataFrame(rows, "url string, local string, utc string")
+    sites = spark.createDataFrame([(s, z) for s, (z, _) in zones.items()], "site string, zone string")
+    got = {r["site"]: (r["estimated"], r["n_same"]) for r in check_zones(df, "local", "utc", "url", sites).collect()}
+    assert got == {s: (z, 300) for s, (z, _) in zones.items()}
+    assert check_zones(df.limit(0), "local", "utc", "url", sites).count() == 0

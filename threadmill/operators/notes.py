@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sqlite3
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import closing
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadmill import schema
 from threadmill.functions.text import contains_any, filled
 
 _path = lambda raw, p: F.get_json_object(raw, f"$.{p}")
@@ -109,6 +113,37 @@ def merge_stores(existing: DataFrame, new: DataFrame, key: str, order: str) -> D
     return existing.unionByName(fresh.join(existing.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti"))
 
 
+def scan_store(spark: SparkSession, path: str, table: str = "notes", tasks: int = 8) -> DataFrame:
+    """The notes of another store: a parquet folder, or a SQLite file that all executors can read.
+
+    A SQLite table is read in ``tasks`` ranges of its row numbers. Columns it lacks are null.
+    """
+    columns = [f.name for f in schema.NOTE.fields]
+    if not path.endswith((".db", ".sqlite")):
+        df = spark.read.parquet(path)
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.NOTE.fields])
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        there = {r[1] for r in db.execute(f'pragma table_info("{table}")')}
+        least, most = db.execute(f'select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from "{table}"').fetchone()
+    wanted = ", ".join(f'"{c}"' if c in there else "null" for c in columns)
+    step = max(1, -(-(most - least + 1) // tasks))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for first in b["first"]:
+                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                    rows = db.execute(f'select {wanted} from "{table}" where rowid >= ? and rowid < ? order by rowid', (int(first), int(first) + step))
+                    while part := rows.fetchmany(10_000):
+                        yield pd.DataFrame(part, columns=columns, dtype=object)
+
+    return spark.range(least, most + 1, step, tasks).select(F.col("id").alias("first")).mapInPandas(read, schema.NOTE)
+
+
+def pool_ids(df: DataFrame, key: str = "note_id") -> DataFrame:
+    """The distinct ids a store holds."""
+    return df.select(key).where(F.col(key).isNotNull()).distinct()
+
+
 def merge_counts(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """One row (n_read, n_inserted, n_skipped) of merging new rows into a store, first wins.
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.functions.joins import lookup
 from threadmill.functions.text import words
 from threadmill.session import cut
 
@@ -27,7 +28,8 @@ def lexical_topk(queries: DataFrame, gold: DataFrame, k: int = 5, same_language:
     """
     q = token_sets(queries.withColumnRenamed("id", "qid"), "qid", "text").withColumnRenamed("n", "nq")
     g = token_sets(gold.withColumnRenamed("id", "gid"), "gid", "text").withColumnRenamed("n", "ng")
-    both = q.join(g, "token").groupBy("qid", "gid", "nq", "ng").agg(F.count("*").alias("common"))
+    # A word that very many examples hold is spread over salts, the queries with it repeated.
+    both = lookup(g, q, "token", ["gid"], "inner").groupBy("qid", "gid", "nq", "ng").agg(F.count("*").alias("common"))
     overlap = both.select("qid", "gid", (F.col("common") / (F.col("nq") + F.col("ng") - F.col("common"))).alias("overlap"))
     about_q = queries.select(F.col("id").alias("qid"), F.col("language").alias("ql"), F.col("country").alias("qc"))
     about_g = gold.select(F.col("id").alias("gid"), F.col("language").alias("gl"), F.col("country").alias("gc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.functions.joins import lookup
 from threadmill.functions.text import canonical_id, combined_text, filled, fingerprint, joined, strip
 from threadmill.session import cut
 
@@ -37,10 +38,13 @@ def exclusion_reasons(pool: DataFrame, protected: DataFrame, row: str) -> DataFr
 
     ``protected`` is (set_name, key_type, key). All sets meet the pool in one join on
     (key_type, key) instead of one join a set; a row without reason has an empty array.
-    Protected keys are made distinct first, so a repeated one can't multiply rows.
+    Protected keys are made distinct first, so a repeated one can't multiply rows; a key
+    that very many pool rows share is spread over salts.
     """
-    named = protected.select("key_type", "key", F.concat_ws("_", "set_name", "key_type").alias("reason")).distinct()
-    hits = long_keys(pool, row).distinct().join(named, ["key_type", "key"]).groupBy(row).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    typed = F.concat_ws(":", "key_type", "key").alias("typed")
+    named = protected.where("key is not null").select(typed, F.concat_ws("_", "set_name", "key_type").alias("reason")).distinct()
+    keys = cut(long_keys(pool, row).select(row, typed).distinct())
+    hits = lookup(keys, named, "typed", [row], "inner").groupBy(row).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     return pool.select(row).join(hits, row, "left").select(row, F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 

@@ -126,18 +126,11 @@ _SLOT_S = 900  # zone offsets are whole quarter hours
 _REACH_S = 15 * 3600  # no offset is further from UTC
 
 
-def zone_fit(df: DataFrame, site: Column, local: Column, ingested: Column, candidates: DataFrame) -> DataFrame:
-    """How well each candidate zone explains the local times of each site.
-
-    ``local`` are wall clocks in microseconds, ``ingested`` the row's ingestion
-    instant in microseconds, ``candidates`` has columns zone. One row per site and zone:
-    (site, zone, n_rows, n_violations, lag_s): rows that can be aligned, rows whose instant
-    under the zone would be later than their ingestion, and the mean lag in seconds of
-    those that are not.
+def _evidence(df: DataFrame, site: Column, local: Column, ingested: Column) -> DataFrame:
+    """(site, __hour, __slot, __n, __sum): rows counted by site, hour and quarter-hour slack.
 
-    Only offset < -slack decides a violation, and offsets are whole quarter hours; so rows
-    are first counted per (site, hour, quarter-hour slack within +-15 h), with all rows of
-    more slack in one counter per site. What meets the candidates is bounded by sites x
+    Offsets are whole quarter hours, so that is all the fit needs; rows of more than 15 h
+    of slack are in one counter per site. What meets the candidates is bounded by sites x
     hours x 120 whatever the number of rows.
     """
     floor = lambda x, y: F.floor(x / F.lit(y)).cast("bigint")
@@ -145,16 +138,23 @@ def zone_fit(df: DataFrame, site: Column, local: Column, ingested: Column, candi
     slack = at.where("__at is not null and __in is not null").select("site", "__at", floor(F.col("__in") - F.col("__at"), 1_000_000).alias("__slack"))
     near = F.col("__slack") < _REACH_S
     slot = F.greatest(floor(F.col("__slack"), _SLOT_S), F.lit(-_REACH_S // _SLOT_S).cast("bigint"))
-    counted = (
-        slack.select("site", F.when(near, floor(F.col("__at"), 3_600_000_000)).alias("__hour"), F.when(near, slot).alias("__slot"), "__slack")
-        .groupBy("site", "__hour", "__slot")
-        .agg(F.count("*").alias("__n"), F.sum("__slack").alias("__sum"))
-    )
+    rows = slack.select("site", F.when(near, floor(F.col("__at"), 3_600_000_000)).alias("__hour"), F.when(near, slot).alias("__slot"), "__slack")
+    return rows.groupBy("site", "__hour", "__slot").agg(F.count("*").alias("__n"), F.sum("__slack").alias("__sum"))
+
+
+def _offset(zone: Column) -> Column:
+    """The zone's offset in seconds at an hour of evidence.
+
+    to_utc_timestamp shifts by the zone's offset at that local time: the difference is the offset.
+    """
     wall = F.timestamp_seconds(F.col("__hour") * 3600)
-    # to_utc_timestamp shifts by the zone's offset at that local time: the difference is the offset.
-    offset = F.unix_seconds(wall) - F.unix_seconds(F.to_utc_timestamp(wall, F.col("zone")))
-    late = F.col("__hour").isNotNull() & (offset < -(F.col("__slot") * _SLOT_S))
-    lag = F.when(~late, F.col("__sum") + F.coalesce(offset, F.lit(0)) * F.col("__n"))
+    return F.unix_seconds(wall) - F.unix_seconds(F.to_utc_timestamp(wall, zone))
+
+
+def _fit(counted: DataFrame, candidates: DataFrame, least_s: int) -> DataFrame:
+    offset = _offset(F.col("zone"))
+    late = F.col("__hour").isNotNull() & (offset < F.lit(least_s) - F.col("__slot") * _SLOT_S)
+    lag = F.when(~late, F.col("__sum") - F.coalesce(offset, F.lit(0)) * F.col("__n") * F.lit(-1))
     return (
         counted.join(F.broadcast(candidates.select("zone")), how="cross")
         .groupBy("site", "zone")
@@ -162,25 +162,84 @@ def zone_fit(df: DataFrame, site: Column, local: Column, ingested: Column, candi
     )
 
 
-def estimate_zones(df: DataFrame, site: Column, local: Column, ingested: Column, declared: DataFrame, default: str) -> DataFrame:
+def zone_fit(df: DataFrame, site: Column, local: Column, ingested: Column, candidates: DataFrame, least_s: int = 0) -> DataFrame:
+    """How well each candidate zone explains the local times of each site.
+
+    ``local`` are wall clocks in microseconds, ``ingested`` the row's ingestion
+    instant in microseconds, ``candidates`` has columns zone. One row per site and zone:
+    (site, zone, n_rows, n_violations, lag_s): rows that can be aligned, rows whose instant
+    under the zone would be less than ``least_s`` before their ingestion, and the mean lag
+    in seconds of those that are not.
+    """
+    return _fit(_evidence(df, site, local, ingested), candidates, least_s)
+
+
+def _lags(counted: DataFrame, zones: DataFrame) -> DataFrame:
+    """(site, zone, lag, n): rows by the quarter hours from local time to ingestion under each zone.
+
+    Rows of more than 15 h of slack say nothing of the zone and have no lag.
+    """
+    lag = F.floor(F.col("__slot") + _offset(F.col("zone")) / _SLOT_S).cast("int").alias("lag")
+    return counted.join(F.broadcast(zones.select("zone")), how="cross").groupBy("site", "zone", lag).agg(F.sum("__n").alias("n"))
+
+
+def _costs(lags: DataFrame, known: DataFrame) -> DataFrame:
+    """(site, zone, cost): how unlikely a site's lags under a zone are among those of the other sites of known zone.
+
+    A lag's chance is its share of their rows, each lag counted half a row more, so odd rows
+    cost every zone alike. A known site's own rows are taken out of what it is compared with.
+    """
+    of = lags.where("lag is not null")
+    own = of.join(known, (F.col("site") == F.col("__site")) & (F.col("zone") == F.col("__known"))).select("site", "lag", F.col("n").alias("__own"))
+    pool = own.groupBy("lag").agg(F.sum("__own").alias("__pool"))
+    whole = own.agg(F.coalesce(F.sum("__own"), F.lit(0)).alias("__whole"))
+    mine = own.groupBy("site").agg(F.sum("__own").alias("__mine"))
+    both = of.join(pool, "lag", "left").join(own, ["site", "lag"], "left").join(mine, "site", "left").join(F.broadcast(whole), how="cross")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    chance = (zero("__pool") - zero("__own") + 0.5) / (F.col("__whole") - zero("__mine") + 0.5 * 2 * _REACH_S / _SLOT_S)
+    return both.groupBy("site", "zone").agg(F.round(F.sum(-F.col("n") * F.ln(chance)), 6).alias("cost"))
+
+
+def estimate_zones(df: DataFrame, site: Column, local: Column, ingested: Column, declared: DataFrame, default: str, hidden: bool = False) -> DataFrame:
     """The offset history to use for each site: (site, zone, n_violations, n_rows, declared).
 
     ``declared`` (site, zone) are sites whose zone is known; for them the known history
-    wins and the fit is its measure. Every other site takes, of all declared zones, the
-    one with the fewest violations, then the smallest mean lag, then ``default``, then
-    the first name.
+    wins and the fit is its measure; with ``hidden`` it is left out, to see what the fit
+    alone would say. A zone and a lag can't be told apart by one site, so every other site
+    takes, of all declared zones, the one that makes its lags most like those of the sites
+    of known zone. Where these are no guide, it takes the one with the fewest violations
+    (instants later than their ingestion), then the smallest mean lag, then ``default``,
+    then the first name.
     """
     declared = declared.where(F.col("site").isNotNull() & F.col("zone").isin(sorted(_NAMES)))
     known = declared.groupBy(F.lower("site").alias("site")).agg(F.min("zone").alias("__known"))
+    counted = cut(_evidence(df, site, local, ingested))
     zones = declared.select("zone").union(df.sparkSession.createDataFrame([(default,)], "zone string")).distinct()
+    costs = _costs(_lags(counted, zones), known.select(F.col("site").alias("__site"), "__known"))
+    known = known.limit(0) if hidden else known
     # Declared sites stay even without any row to align: they join with an empty count.
     none = known.select("site", F.col("__known").alias("zone"), F.lit(0).cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("n_violations"), F.lit(None).cast("double").alias("lag_s"))
-    fit = zone_fit(df, site, local, ingested, zones).union(none).groupBy("site", "zone").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_violations").alias("n_violations"), F.max("lag_s").alias("lag_s"))
-    order = F.struct((F.coalesce(F.col("__known"), F.lit("")) != F.col("zone")).alias("a"), F.col("n_violations").alias("b"), F.col("lag_s").alias("c"), (F.col("zone") != default).alias("d"), F.col("zone").alias("e"))
+    fit = _fit(counted, zones, 0).union(none).groupBy("site", "zone").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_violations").alias("n_violations"), F.max("lag_s").alias("lag_s")).join(costs, ["site", "zone"], "left")
+    order = F.struct((F.coalesce(F.col("__known"), F.lit("")) != F.col("zone")).alias("a"), F.coalesce("cost", F.lit(0.0)).alias("w"), F.col("n_violations").alias("b"), F.col("lag_s").alias("c"), (F.col("zone") != default).alias("d"), F.col("zone").alias("e"))
     best = fit.join(known, "site", "left").groupBy("site").agg(F.min_by(F.struct("zone", "n_violations", "n_rows"), order).alias("__b"), F.max("__known").alias("__known"))
     return best.select("site", "__b.zone", "__b.n_violations", "__b.n_rows", F.col("__known").isNotNull().alias("declared"))
 
 
+def check_zones(df: DataFrame, local_field: str, utc_field: str, url: str, sites: DataFrame, default: str = "Asia/Shanghai") -> DataFrame:
+    """(site, declared, estimated, n_rows, n_same): the estimate with each declared zone hidden.
+
+    n_rows are the site's readable local times without zone, n_same those that both zones
+    make the same instant. Sites without such rows aren't there.
+    """
+    rows = df.select(read_notation(local_field).alias("__l"), read_notation(utc_field).alias("__u"), site_host(F.col(url)).alias("__site")).where((F.col("__l.zone") == "") & (F.col("__site") != ""))
+    rows = cut(rows.select("__l", instant_micros(F.col("__u"), F.lit("Z")).alias("__in"), "__site"))
+    guess = estimate_zones(rows, F.col("__site"), F.col("__l.wall"), F.col("__in"), sites, default, hidden=True).select("site", F.col("zone").alias("estimated"))
+    told = sites.where("site is not null and zone is not null").groupBy(F.lower("site").alias("site")).agg(F.min("zone").alias("declared"))
+    both = lookup(rows.withColumnRenamed("__site", "site"), guess.join(told, "site"), "site", ["__in", "__l"], "inner")
+    same = instant_micros(F.col("__l"), F.col("declared")) == instant_micros(F.col("__l"), F.col("estimated"))
+    return both.groupBy("site", "declared", "estimated").agg(F.count("*").alias("n_rows"), F.count_if(same).alias("n_same"))
+
+
 def normalise_timestamps(df: DataFrame, key: str, local_field: str, utc_field: str, url: str, sites: DataFrame, default: str = "Asia/Shanghai") -> DataFrame:
     """Each readable value as an instant: (key, field, utc_micros).
 
@@ -206,5 +265,3 @@ def normalise_timestamps(df: DataFrame, key: str, local_field: str, utc_field: s
     )
     return zoned.select(key, F.inline(both)).where("utc_micros is not null")
 
-
-__all__ = ["estimate_zones", "instant_micros", "normalise_timestamps", "read_notation", "read_text", "read_zone", "site_host", "zone_fit"]

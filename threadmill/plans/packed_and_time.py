@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.operators.packed import unpack_fields
-from threadmill.operators.timestamps import instant_micros, normalise_timestamps, read_notation, site_host, zone_fit
+from threadmill.operators.timestamps import check_zones, instant_micros, normalise_timestamps, read_notation, site_host, zone_fit
 from threadmill.session import table
 
 
@@ -34,5 +34,14 @@ def p7_zone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("site", "zone", "n_rows", "n_violations", F.round("lag_s", 3).alias("lag_s"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p7_found": p7_found, "p7_zone_fit": p7_zone_fit}
-ORACLE_SQL: dict[str, str] = {}
+def p7_zone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the estimate, with a site's declared zone hidden, gives other instants: (any_sites, n_wrong).
+
+    Judged are sites of a hundred rows or more; fewer can be outweighed by a few odd rows.
+    """
+    checked = check_zones(table(spark, sf_dir, "notes"), "publish_time", "created_at", "source_url", table(spark, sf_dir, "source_sites").select("site", "zone"))
+    return checked.where("n_rows >= 100").agg((F.count("*") > 0).alias("any_sites"), F.count_if(F.col("n_same") < 0.99 * F.col("n_rows")).alias("n_wrong"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p7_found": p7_found, "p7_zone_fit": p7_zone_fit, "p7_zone_check": p7_zone_check}
+ORACLE_SQL: dict[str, str] = {"p7_zone_check": "select true as any_sites, 0 as n_wrong"}
