@@ -118,6 +118,17 @@ def rerank(candidates: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
     return pool.withColumn("rerank_score", s).selectExpr("qid", "gid", "score", "row_number() over (partition by qid order by rerank_score desc nulls last, rank, gid) as rank").where(F.col("rank") <= k)
 
 
+def with_fallback(dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(qid, gid, score, rank): the dense results of every query that has any, else its lexical ones.
+
+    A query without a vector, or whose vector meets none, has no dense result. Both sides
+    are (qid, gid, score, rank).
+    """
+    names = ["qid", "gid", "score", "rank"]
+    served = dense.select("qid").distinct()
+    return dense.select(*names).union(lexical.join(served, "qid", "left_anti").select(*names))
+
+
 def trace_rows(found: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
     """(post_id, rank, score, gold columns): one row for each retrieved example (qid, gid, rank, score).
 

@@ -233,6 +233,29 @@ def dense_topk(spark, d):
     return retrieve.dense_topk(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(
+    f"""with {_LISTED}, p as (select row_id as id, country, language, {_TOKENS} as t from source_posts), gid as (select distinct row_id as id from listed where split in ('classification_gold', 'csm_gold')),
+    v as (select vec_id as id, embedding from embeddings), d as (select q.id as qid, e.id as gid, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::double * x[2]::double)), 6) as score
+          from v q join p on p.id = q.id and q.id % 20 = 0 and q.id % 40 <> 0 join v e on e.id <> q.id join gid on gid.id = e.id),
+    s as (select q.id as qid, g.id as gid, len(list_intersect(q.t, g.t)) as c, len(q.t) + len(g.t) as n, coalesce(q.language = g.language, false) as l, coalesce(q.country = g.country, false) as k from p q cross join (select p.* from p join gid using (id)) g where q.id % 20 = 0),
+    r as (select qid, gid, (case when c = 0 then 0.0::double else c / (n - c)::double end + case when l then 0.15::double else 0.0::double end) + case when k then 0.05::double else 0.0::double end as score, l, k from s),
+    x as (select qid, gid, score, row_number() over (partition by qid order by score desc, gid) as rank from d qualify rank <= 5), y as (select qid, gid, round(score, 9) as score, row_number() over (partition by qid order by r.score desc, l desc, k desc, gid) as rank from r qualify rank <= 5)
+    select * from x union all select * from y where qid not in (select qid from x)"""
+)
+def retrieval_with_fallback(spark, d):
+    """The five gold posts nearest by vector to every twentieth post, by wording where it has no vector."""
+    def side(df):
+        text = F.coalesce(combined_text(F.col("text_clean"), F.col("original_title"), F.col("original_text")), F.lit(""))
+        return df.select(F.col("row_id").alias("id"), text.alias("text"), "language", "country")
+
+    asked, gold, e = _posts(spark, d).where("row_id % 20 = 0"), _gold(spark, d), table(spark, d, "embeddings")
+    vectors = e.join(gold.select(F.col("row_id").alias("vec_id")), "vec_id", "left_semi")
+    known = e.join(asked.where("row_id % 40 <> 0").select(F.col("row_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = retrieve.dense_topk(vectors, known, "vec_id", "embedding").withColumnRenamed("id", "gid")
+    found = retrieve.with_fallback(dense, retrieve.lexical_topk(side(asked), side(gold)))
+    return found.select("qid", "gid", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("select id, note_id, title, author_name, liked_count, collected_count, comment_count, publish_time from notes where (contains(lower(title), '智齿') or contains(lower(content), '智齿')) and liked_count >= 1 order by liked_count desc nulls last, id limit 200")
 def note_search(spark, d):
     """The most liked notes on a keyword (a top-200 report)."""
