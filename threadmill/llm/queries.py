@@ -97,6 +97,12 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(table(spark, sf_dir, "notes"), "id", ["title", "content"], "source_url")
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates' denominators, and whether no more values are cut than there are: (site, field, n_values, possible)."""
+    rates = p6_rates(spark, sf_dir)
+    return rates.select("site", "field", "n_values", ((F.col("n_cut") <= F.col("n_values")) & (F.abs(F.col("rate") * F.col("n_values") - F.col("n_cut")) < 1)).alias("possible"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping entries across the splits: (entry_a, entry_b)."""
     return cross_split_pairs(table(spark, sf_dir, "project_split_manifest"), table(spark, sf_dir, "source_posts"))
@@ -138,6 +144,12 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("script", "level").agg(F.count("*").alias("n_documents"))
 
 
+def p10_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a level of 1 to 4, as far as they hold a word: (n_levelled)."""
+    levels = reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+    return levels.agg(F.count_if(F.col("level").between(1, 4)).alias("n_levelled"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combined corpus: (shard, position, source, doc_id, copy, n_tokens)."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -167,6 +179,7 @@ QUERIES = {
     "p5_balance": p5_balance,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
+    "p6_totals": p6_totals,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p3_classes": p3_classes,
@@ -175,6 +188,7 @@ QUERIES = {
     "p8_overlaps": p8_overlaps,
     "p10_found": p10_found,
     "p10_profile": p10_profile,
+    "p10_totals": p10_totals,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p9_limits": p9_limits,
@@ -226,6 +240,9 @@ _LEAKED = f"""with s as (select item_id, lang, list_filter(list_transform({_SENT
     found as (select distinct doc_id, item_id from dg join ig using (g))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "p6_totals": r"""with s as (select coalesce(regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)', 1), '^((www|m)[.])+', ''), '') as site, title, content from notes)
+        select site, 'title' as field, count(*) as n_values, true as possible from s where trim(title) <> '' group by 1 union all select site, 'content', count(*), true from s where trim(content) <> '' group by 1""",
+    "p10_totals": r"select count(*) as n_levelled from documents where doc_id is not null and regexp_matches(text, '[A-Za-z]|[\x{ac00}-\x{d7a3}]|[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]{2}')",
     "p2_balance": "select 'notes' as tbl, count(*) as n_records, 0 as n_wrong from notes union all select 'source_posts', count(*), 0 from source_posts",
     "p3_found": f"{_OVERLAPS} select distinct least(a, b) as entry_a, greatest(a, b) as entry_b from ep",
     "p3_report": f"{_OVERLAPS}, f as (select distinct ckey, source_file from p where ckey is not null) select split, coalesce(source_file, '') as source_file, count(*) as n_entries, count_if(entry_id in (select a from ep)) as n_overlapping from e left join f using (ckey) where not main group by all",

@@ -160,8 +160,8 @@ def truncation_evidence(df: DataFrame, key: str, fields: list[str], min_seen: in
     return judged.select("id", "field", "mark", F.coalesce("words", F.when(F.col("mark") == "cut", "mark")).alias("evidence")).where("evidence is not null")
 
 
-def _never_ends(seen: tuple, min_seen: int, max_rate: float) -> Column:
-    g, e, t = (F.col(c) if isinstance(c, str) else c for c in seen)
+def _never_ends(seen: tuple[str, str, str], min_seen: int, max_rate: float) -> Column:
+    g, e, t = map(F.col, seen)
     return (g >= min_seen) & (e + t <= 1 + max_rate * (g + e + t))
 
 
