@@ -7,6 +7,8 @@ isn't. The oracles derive the same rows in long form, without arrays.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from threadmill.functions.text import combined_text
 from threadmill.operators import retrieve, units
 from threadmill.plans.annotate import annotate
 from threadmill.plans.corpus import _combined, _joined, _strip
-from threadmill.session import cut, table
+from threadmill.session import table
 from threadmill.sources.files import run_summary
 
 QUERIES: dict = {}
@@ -81,8 +83,6 @@ def extractions(spark: SparkSession, d: str) -> DataFrame:
 
 def _lambda(sql: str) -> str:
     """k and h of the formulas as fields of the lambda variable z."""
-    import re
-
     return re.sub(r"\b([kh])\b(?!')", r"z.\1", sql)
 
 
