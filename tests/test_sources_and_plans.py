@@ -114,6 +114,9 @@ def test_replacement_takes_what_is_free_in_any_stratum(spark):
     with pytest.raises(ValueError, match="No replacement candidate"):
         pick(none)
     assert pick(none, on_missing="null") == {100: None, 101: 2}
+    # Repeated rows count once, rows without key not at all.
+    leaked, pool = leaked.union(leaked).union(spark.createDataFrame([(None, "A", None, None)], schema_)), pool.union(pool)
+    assert pick(taken) == {100: 1, 101: 3}
 
 
 def test_replacement_equals_the_loop(spark):

@@ -77,7 +77,7 @@ def stratified_replacement(leaked: DataFrame, pool: DataFrame, taken: DataFrame,
     evaluation rows hold) nor belong to a replacement of an earlier leaked row of any
     stratum. A row without candidate is an error, or with ``on_missing`` 'null' has none.
     ``leaked`` and ``pool`` are row_keys with ``key`` and the strata; a null stratum is one
-    of its own.
+    of its own, rows of one key count once and rows without key are left out.
 
     Rows and candidates of a stratum meet by rank. Where two rows, of one stratum or of
     two, would share an id or a fingerprint, all rows before the first that would repeat an
@@ -87,8 +87,9 @@ def stratified_replacement(leaked: DataFrame, pool: DataFrame, taken: DataFrame,
     by, out = ", ".join(f"s{i}" for i in range(len(strata))), None
     named = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"s{i}") for i, c in enumerate(strata)]
     held = taken.where("key is not null").select("key_type", "key").distinct()
-    left = cut(leaked.select(F.col(key).alias("leaked"), *named, *[F.col(c).alias(f"__{c}") for c in strata]))
-    free = cut(_free(pool.select(F.col(key).alias("c"), F.col(key).cast("string").alias("o"), *named, "id_key", F.col("fp_clean").alias("fp")), held))
+    once = lambda df: df.where(F.col(key).isNotNull()).dropDuplicates([key])
+    left = cut(once(leaked).select(F.col(key).alias("leaked"), *named, *[F.col(c).alias(f"__{c}") for c in strata]))
+    free = cut(_free(once(pool).select(F.col(key).alias("c"), F.col(key).cast("string").alias("o"), *named, "id_key", F.col("fp_clean").alias("fp")), held))
     while True:
         most = left.groupBy(*[f"s{i}" for i in range(len(strata))]).count().agg(F.max("count")).first()[0] or 0
         ranked = free.selectExpr("*", f"row_number() over (partition by {by} order by o, c) as rn").where(F.col("rn") <= most)

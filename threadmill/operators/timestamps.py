@@ -52,7 +52,7 @@ _NOTATIONS = [
 #: Digits of an epoch value, and the power of ten that makes it microseconds.
 _EPOCH_DIGITS = {9: 6, 10: 6, 12: 3, 13: 3, 15: 0, 16: 0, 19: -3}
 _EPOCH_DAY = dt.date(1970, 1, 1).toordinal()
-_NAMES = zoneinfo.available_timezones()
+ZONES = zoneinfo.available_timezones()
 _EDGE = " \t\r\n\u00a0\u3000\u200b\ufeff\"'"
 
 
@@ -65,7 +65,7 @@ def read_zone(z: str) -> str | None:
         return _ABBREVIATIONS[low]
     if m := re.fullmatch(r"(?:utc|gmt)?([+-])(\d{1,2})(?::?([0-5]\d))?", low):
         return f"{m[1]}{int(m[2]):02}:{m[3] or '00'}" if int(m[2]) <= 14 else None
-    return z if z in _NAMES else None
+    return z if z in ZONES else None
 
 
 def read_text(s: str | None) -> tuple[int, str] | None:
@@ -211,7 +211,7 @@ def estimate_zones(df: DataFrame, site: Column, local: Column, ingested: Column,
     (instants later than their ingestion), then the smallest mean lag, then ``default``,
     then the first name.
     """
-    declared = declared.where(F.col("site").isNotNull() & F.col("zone").isin(sorted(_NAMES)))
+    declared = declared.where(F.col("site").isNotNull() & F.col("zone").isin(sorted(ZONES)))
     known = declared.groupBy(F.lower("site").alias("site")).agg(F.min("zone").alias("__known"))
     counted = cut(_evidence(df, site, local, ingested))
     zones = declared.select("zone").union(df.sparkSession.createDataFrame([(default,)], "zone string")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.operators.packed import unpack_fields
-from threadmill.operators.timestamps import check_zones, instant_micros, normalise_timestamps, read_notation, site_host, zone_fit
+from threadmill.operators.timestamps import ZONES, check_zones, instant_micros, normalise_timestamps, read_notation, site_host, zone_fit
 from threadmill.session import table
 
 
@@ -47,7 +47,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_zone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well every declared zone explains the zoneless publish times of every site."""
     notes = table(spark, sf_dir, "notes").select(read_notation("publish_time").alias("l"), read_notation("created_at").alias("u"), site_host(F.col("source_url")).alias("s"))
-    zones = table(spark, sf_dir, "source_sites").select("zone").where("zone is not null").distinct()
+    zones = table(spark, sf_dir, "source_sites").select("zone").where(F.col("zone").isin(sorted(ZONES))).distinct()
     fit = zone_fit(notes.where((F.col("l.zone") == "") & (F.col("s") != "")), F.col("s"), F.col("l.wall"), instant_micros(F.col("u"), F.lit("Z")), zones)
     return fit.select("site", "zone", "n_rows", "n_violations", F.round("lag_s", 3).alias("lag_s"))
 
