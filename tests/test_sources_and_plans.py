@@ -177,6 +177,29 @@ def test_near_duplicates_edge_cases(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_near_duplicates_of_stock_sentences_keep_no_shingles(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    stock = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(12)) for _ in range(30)]
+    texts = ["".join(r.sample(stock, 8)) for _ in range(500)]
+    texts += [t[:-3] + "甲乙丙" for t in texts[:20]] + [t[:4] for t in texts[:9]]
+    sets = [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in texts]
+    first = {frozenset(s): k for k, s in reversed(list(enumerate(sets)))}.values()
+    of = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b, round(of(a, b), 6)) for a in first for b in first if a < b and of(a, b) >= 0.8}
+    was = spark.sparkContext.getCheckpointDir()
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        pairs = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")[1]
+        assert {(x["class_a"], x["class_b"], round(x["similarity"], 6)) for x in pairs.collect()} == want and len(want) >= 20
+    finally:
+        if was:
+            spark.sparkContext.setCheckpointDir(was.rsplit("/", 1)[0])
+    kept = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    assert kept < sum(len(t.encode()) for t in texts)
+
+
 class Model:
     loaded = 0
 

@@ -320,7 +320,7 @@ _SHINGLES = """w as (select id, regexp_extract_all(lower(coalesce(content, '')),
 @query(f"with {_SHINGLES} select id, class_id from m")
 def near_duplicate_classes(spark, d):
     """The class of texts with the same runs of five words that each note belongs to."""
-    return neardup.near_duplicates(_notes(spark, d), "id", "content")[0]
+    return neardup.near_duplicate_classes(_notes(spark, d), "id", "content")
 
 
 @query(
@@ -329,7 +329,7 @@ def near_duplicate_classes(spark, d):
 )
 def near_duplicate_pairs(spark, d):
     """Pairs of such classes that share at least 0.8 of their runs."""
-    return neardup.near_duplicates(_notes(spark, d), "id", "content")[1].withColumn("similarity", F.round("similarity", 6))
+    return neardup.near_duplicate_pairs(_notes(spark, d), "id", "content").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
