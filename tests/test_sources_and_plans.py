@@ -200,6 +200,26 @@ def test_near_duplicates_of_stock_sentences_keep_no_shingles(spark, tmp_path):
     assert kept < sum(len(t.encode()) for t in texts)
 
 
+def test_near_duplicates_broadcast_only_hot_keys(spark, monkeypatch):
+    from threadmill.functions import joins
+    from threadmill.operators import neardup
+
+    kept = []
+    for module in (joins, neardup):
+        monkeypatch.setattr(module, "PER_SALT", 30)
+    monkeypatch.setattr(neardup, "cut", lambda df, cut=neardup.cut: [kept.append(df), cut(df)][1])
+    of = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    texts = [" ".join(f"w{j}" for j in range(12)) + f" end{k}" for k in range(40)]  # all meet at one shingle: 8 of 10 are shared
+    some = [" ".join(f"{k}w{j}" for j in range(30)) + end for k in range(9) for end in ("", " x")]
+    for rows, similar, hot in ((texts, 40 * 39 // 2, 1), (some, 9, 0)):
+        kept.clear()
+        pairs = neardup.near_duplicate_pairs(of(rows), "id", "text")
+        assert {(r["class_a"], r["class_b"]) for r in pairs.collect()} == {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if hot or a // 2 == b // 2} and pairs.count() == similar
+        met, texts_met = (df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df in (kept[-1], pairs))
+        assert met.count("SortMergeJoin") == 1 and (met.count("BroadcastHashJoin") > 0) == bool(hot)
+        assert texts_met.count("SortMergeJoin") == 2
+
+
 class Model:
     loaded = 0
 

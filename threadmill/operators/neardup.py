@@ -275,9 +275,10 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, similarity: float =
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("row_a") < F.col("row_b")))
     differ = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.bit_count(F.col("ga").bitwiseXOR(F.col("gb")))
     fits = smaller & (F.col("place_a") <= F.col("na") - need + 1) & (F.col("place_b") <= F.col("nb") - need + 1) & (differ <= F.col("na") + F.col("nb") - need * 2)
-    met = cut(lookup(side("a"), side("b"), "x", ["row_a"], "inner", hot).where(fits).select("row_a", "row_b").distinct())
+    met = cut(lookup(side("a"), side("b"), "x", ["row_a"], "inner", hot, merge=True).where(fits).select("row_a", "row_b").distinct())
     needed = spark.sparkContext.broadcast(_counted(met, _all_rows))
-    pairs = lookup(lookup(met, _texts(blocks, needed, "a"), "row_a", ["row_b"], "inner"), _texts(blocks, needed, "b"), "row_b", ["row_a"], "inner")
+    halves = lookup(met, _texts(blocks, needed, "a"), "row_a", ["row_b"], "inner", merge=True)
+    pairs = lookup(halves, _texts(blocks, needed, "b"), "row_b", ["row_a"], "inner", merge=True)
     scored = pairs.select("class_a", "class_b", "text_a", "text_b").where("class_a <> class_b").mapInArrow(_scored, "class_a bigint, class_b bigint, similarity double")
     return scored.where(F.col("similarity") >= least).select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "similarity")
 
